@@ -1,0 +1,16 @@
+"""Corpus search and statistics over ``documents``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rawi.sources.tables import table
+
+
+def corpus_search_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("doc_id", "lang")
+
+
+QUERIES = {"corpus_search_and": corpus_search_and}
+SQL = {"corpus_search_and": "SELECT doc_id, lang FROM documents WHERE lang = 'en'"}
