@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from . import quality_rules as op5
+from . import source_mix as op9
 from . import substring_dedup as op2
+from . import url_filter as op1
 
 
 def queries():
     return {
+        "op1_url_filter": op1.op1_url_filter,
         "op2_substring_dedup": op2.op2_substring_dedup,
+        "op5_quality_rules": op5.op5_quality_rules,
+        "op9_source_mix": op9.op9_source_mix,
     }
 
 
 def oracle_sql():
-    return {"op2_substring_dedup": op2.OP2_SQL}
+    return {"op2_substring_dedup": op2.OP2_SQL, "op9_source_mix": op9.OP9_SQL}
