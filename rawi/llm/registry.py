@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from . import decontaminate as op6
+from . import near_dedup as op7
 from . import quality_rules as op5
+from . import secrets_scan as op8
 from . import source_mix as op9
 from . import substring_dedup as op2
 from . import url_filter as op1
@@ -13,9 +16,12 @@ def queries():
         "op1_url_filter": op1.op1_url_filter,
         "op2_substring_dedup": op2.op2_substring_dedup,
         "op5_quality_rules": op5.op5_quality_rules,
+        "op6_decontaminate": op6.op6_decontaminate,
+        "op7_near_dedup": op7.op7_near_dedup,
+        "op8_secrets_scan": op8.op8_secrets_scan,
         "op9_source_mix": op9.op9_source_mix,
     }
 
 
 def oracle_sql():
-    return {"op2_substring_dedup": op2.OP2_SQL, "op9_source_mix": op9.OP9_SQL}
+    return {"op2_substring_dedup": op2.OP2_SQL, "op6_decontaminate": op6.OP6_SQL, "op7_near_dedup": op7.OP7_SQL, "op9_source_mix": op9.OP9_SQL}
