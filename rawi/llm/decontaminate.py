@@ -32,35 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, slices, table, written
-from .wordstream import ALNUM, Words, text_bytes, window_hashes
+from .wordstream import ALNUM, Shelf, Words, text_bytes, window_hashes
 
 #: Benchmark characters held by a task at a time.
 BLOCK_CHARS = 20_000_000
-_BITS = 20
 
 
 def _lower(values) -> list[bytes]:
     return [t.lower() for t in text_bytes(values)]
 
 
-class Shelf:
-    """A set of hashes with fast look-up: a bit table first, then binary search."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
-        self.table = np.zeros(1 << _BITS, dtype=bool)
-        self.table[(self.keys & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``h`` that are in the set, and their index among the keys."""
-        at = np.flatnonzero(self.table[(h & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
-        if not len(at) or not len(self.keys):
-            return at[:0], at[:0]
-        k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        ok = self.keys[k] == h[at]
-        return at[ok], k[ok]
-
-
 class Units:
     """The units of a block of benchmark items and, once counts are known, their prefix tokens."""
 

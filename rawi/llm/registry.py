@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from . import decontaminate as op6
+from . import language_id as op3
 from . import near_dedup as op7
 from . import quality_rules as op5
 from . import secrets_scan as op8
 from . import source_mix as op9
 from . import substring_dedup as op2
+from . import toxicity as op4
 from . import url_filter as op1
 
 
@@ -15,6 +17,8 @@ def queries():
     return {
         "op1_url_filter": op1.op1_url_filter,
         "op2_substring_dedup": op2.op2_substring_dedup,
+        "op3_language_id": op3.op3_language_id,
+        "op4_toxicity": op4.op4_toxicity,
         "op5_quality_rules": op5.op5_quality_rules,
         "op6_decontaminate": op6.op6_decontaminate,
         "op7_near_dedup": op7.op7_near_dedup,
