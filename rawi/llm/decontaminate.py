@@ -139,39 +139,40 @@ def _contained(units, words, at, unit, k, threshold):
 
 
 def _finding(units, threshold: float):
-    def fn(batch):
+    """Word spans and items of each text of a small batch."""
+
+    def fn(part):
         u = units.value
-        for part in slices(batch, "text"):
-            words = Words(_lower(part.column("text").to_pylist()), ALNUM)
-            edge = np.zeros(len(words.hash) + 1, dtype=np.int64)
-            items = [set() for _ in range(part.num_rows)]
-            for k, (shelf, start, unit_of, offset_of) in u.prefix.items():
-                at, key = shelf.find(window_hashes(words.hash, k))
-                ok = words.fits(k)[at]
-                at, key = at[ok], key[ok]
-                times = start[key + 1] - start[key]
-                row = np.repeat(start[key], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                at, unit, offset = np.repeat(at, times), unit_of[row], offset_of[row]
-                if threshold >= 1:
-                    begin, unit = _aligned(u, words, at, unit, offset)
-                else:
-                    begin, unit = _contained(u, words, at, unit, k, threshold)
-                for b, x in zip(begin, unit, strict=True):
-                    text = words.text_of[b]
-                    edge[b] += 1
-                    edge[min(b + len(u.words[x]), words.first[text + 1])] -= 1
-                    items[text].add(u.item[x])
-            marked = np.cumsum(edge)[:-1] > 0
-            step = np.diff(np.concatenate(([0], marked.astype(np.int8), [0])))
-            begins, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-            spans = [[] for _ in range(part.num_rows)]
-            for b, e in zip(begins, ends, strict=True):
-                while b < e:  # a run of hit words may go on in the next text
-                    text = words.text_of[b]
-                    stop = min(e, words.first[text + 1])
-                    spans[text].append({"start": int(b - words.first[text]), "end": int(stop - words.first[text])})
-                    b = stop
-            yield {"row": part.column("row"), "doc_id": part.column("doc_id"), "n_words": words.counts, "spans": spans, "items": [sorted(str(x) for x in i if x is not None) for i in items]}
+        words = Words(_lower(part.column("text").to_pylist()), ALNUM)
+        edge = np.zeros(len(words.hash) + 1, dtype=np.int64)
+        items = [set() for _ in range(part.num_rows)]
+        for k, (shelf, start, unit_of, offset_of) in u.prefix.items():
+            at, key = shelf.find(window_hashes(words.hash, k))
+            ok = words.fits(k)[at]
+            at, key = at[ok], key[ok]
+            times = start[key + 1] - start[key]
+            row = np.repeat(start[key], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            at, unit, offset = np.repeat(at, times), unit_of[row], offset_of[row]
+            if threshold >= 1:
+                begin, unit = _aligned(u, words, at, unit, offset)
+            else:
+                begin, unit = _contained(u, words, at, unit, k, threshold)
+            for b, x in zip(begin, unit, strict=True):
+                text = words.text_of[b]
+                edge[b] += 1
+                edge[min(b + len(u.words[x]), words.first[text + 1])] -= 1
+                items[text].add(u.item[x])
+        marked = np.cumsum(edge)[:-1] > 0
+        step = np.diff(np.concatenate(([0], marked.astype(np.int8), [0])))
+        begins, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        spans = [[] for _ in range(part.num_rows)]
+        for b, e in zip(begins, ends, strict=True):
+            while b < e:  # a run of hit words may go on in the next text
+                text = words.text_of[b]
+                stop = min(e, words.first[text + 1])
+                spans[text].append({"start": int(b - words.first[text]), "end": int(stop - words.first[text])})
+                b = stop
+        yield {"n_words": words.counts, "spans": spans, "items": [sorted(str(x) for x in i if x is not None) for i in items]}
 
     return fn
 
@@ -192,26 +193,41 @@ def _merged(batch):
     yield {"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "n_hit": n_hit, "spans": all_spans, "items": items}
 
 
+def _items(benchmark: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
+    """Benchmark items with a text, and the number of blocks they are taken in."""
+    items = benchmark.filter("text is not null").select("item_id", F.col("text").cast("string").alias("text"))
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    return items, max(1, math.ceil(chars / block_chars))
+
+
+def _indexed(docs: DataFrame, items: DataFrame, b: int, blocks: int, shingle: int, threshold: float, window: int | None):
+    """Broadcast units of block ``b`` with prefixes by the shingle counts over all of ``docs``."""
+    held = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+    units = Units([(r.item_id, r.text) for r in held.collect()], shingle, window)
+    shared = docs.sparkSession.sparkContext.broadcast(units)
+    counts = map_batches(docs.select("text"), _counting(shared), "k int, key int, n long").groupBy("k", "key").agg(F.sum("n").alias("n"))
+    units.index({(r.k, r.key): r.n for r in counts.collect()}, threshold)
+    return docs.sparkSession.sparkContext.broadcast(units)
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, window: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_words, n_hit, spans (word ranges) and items (ids as strings) for each row of ``docs``."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.filter("text is not null").select("item_id", F.col("text").cast("string").alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(chars / block_chars))
+    items, blocks = _items(benchmark, block_chars)
     if blocks > 1:
         docs = written(docs.withColumn("row", F.monotonically_increasing_id()))
     else:
         docs = docs.withColumn("row", F.lit(0).cast("long"))
     parts = []
     for b in range(blocks):
-        held = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        units = Units([(r.item_id, r.text) for r in held.collect()], shingle, window)
-        shared = spark.sparkContext.broadcast(units)
-        counts = map_batches(docs.select("text"), _counting(shared), "k int, key int, n long").groupBy("k", "key").agg(F.sum("n").alias("n"))
-        units.index({(r.k, r.key): r.n for r in counts.collect()}, threshold)
-        found = map_batches(docs, _finding(spark.sparkContext.broadcast(units), threshold), "row long, doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
-        parts.append(found)
+        find = _finding(_indexed(docs, items, b, blocks, shingle, threshold, window), threshold)
+
+        def fn(batch, find=find):
+            for part in slices(batch, "text"):
+                for found in find(part):
+                    yield {"row": part.column("row"), "doc_id": part.column("doc_id")} | found
+
+        parts.append(map_batches(docs, fn, "row long, doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"))
     if blocks == 1:
         merged = parts[0].select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
     else:
@@ -222,10 +238,24 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, thre
     return map_batches(merged, _merged, "doc_id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>")
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id has no row that holds a benchmark item."""
-    hit = benchmark_hits(docs, benchmark, **options).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, window: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item; all columns are kept."""
+    items, blocks = _items(benchmark, block_chars)
+    for b in range(blocks):
+        find = _finding(_indexed(docs, items, b, blocks, shingle, threshold, window), threshold)
+
+        def run(batches, find=find):
+            import pyarrow as pa
+
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    spans = [s for found in find(part) for s in found["spans"]]
+                    yield part.filter(pa.array([not s for s in spans], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if b < blocks - 1:
+            docs = written(docs)
+    return docs
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate as op6
 from . import language_id as op3
 from . import near_dedup as op7
@@ -9,6 +11,7 @@ from . import quality_rules as op5
 from . import secrets_scan as op8
 from . import source_mix as op9
 from . import substring_dedup as op2
+from . import token_counts as op10
 from . import toxicity as op4
 from . import url_filter as op1
 
@@ -24,6 +27,8 @@ def queries():
         "op7_near_dedup": op7.op7_near_dedup,
         "op8_secrets_scan": op8.op8_secrets_scan,
         "op9_source_mix": op9.op9_source_mix,
+        "op10_token_counts": op10.op10_token_counts,
+        "pipeline": corpus_pipeline.run,
     }
 
 
