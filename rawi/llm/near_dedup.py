@@ -16,9 +16,11 @@ exact overlap of their multisets reaches ``similarity``.  At 0.8 with 30 bands o
 Large groups.  Equal texts are one text with one id.  In a band bucket, every
 text is first compared with the bucket's smallest; the links found give
 components.  Only in buckets that still hold several components are the others
-compared, by their signatures in blocks of ``BLOCK`` texts, and the pairs of
+compared, by their signatures in blocks of ``BLOCK`` texts, and pairs of
 different components whose signatures agree on ``LIKELY`` of the components are
-verified.  Pairs inside a component cannot change it and are never formed.
+verified in place, in the first band they share.  A task gives out one link for
+each two components it joins; pairs inside a component cannot change it and are
+never looked at, and no list of pairs is ever formed.
 
 Results on odd input.  Null ids have class null and are not compared.  Documents
 without words are alone unless their id repeats.  Documents of fewer than
@@ -138,6 +140,7 @@ def _signed(shingle: int, bands: int, rows: int):
                 "doc_id": part.column("doc_id"),
                 "tid": [text_id(t) for t in texts],
                 "keys": [k if f else [] for k, f in zip(key.view(np.int64), filled, strict=True)],
+                "bands": [k.tobytes() for k in key],
                 "sig": [s.tobytes() for s in (sig & _U(0xFF)).astype(np.uint8)],
             }
 
@@ -183,63 +186,116 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return written(rows.select("leader", "tid", "text").mapInArrow(_verified(shingle, similarity), "a long, b long"))
 
 
-def _likely(batches):
-    """Pairs of different components with similar signatures, from rows (box, half, tid, label, sig) sorted by box."""
-    import pyarrow as pa
-
-    def flush(rows):
-        if len(rows) < 2:
-            return [], []
-        half = np.array([r[1] for r in rows])
-        tid = np.array([r[2] for r in rows])
-        label = np.array([r[3] for r in rows])
-        sig = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
-        across = bool((half != half[0]).any())
-        a, b = [], []
-        for i in range(len(rows) - 1):
-            rest = slice(i + 1, None)
-            ok = label[rest] != label[i]
-            if across:
-                ok &= half[rest] != half[i]
-            at = np.flatnonzero(ok)
-            if len(at):
-                at = at[(sig[rest][at] == sig[i]).mean(axis=1) >= LIKELY] + i + 1
-                a += np.minimum(tid[at], tid[i]).tolist()
-                b += np.maximum(tid[at], tid[i]).tolist()
-        return a, b
-
+def _boxes(batches, names: tuple[str, ...]):
+    """Lists of rows that share the first column, from batches sorted by it; None marks the end of a batch."""
     held, box = [], None
     for batch in batches:
-        a, b = [], []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("box", "half", "tid", "label", "sig")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             if row[0] != box:
-                x, y = flush(held)
-                a, b = a + x, b + y
+                if held:
+                    yield held
                 held, box = [], row[0]
             held.append(row)
-        yield pa.RecordBatch.from_pydict({"leader": pa.array(a, pa.int64()), "tid": pa.array(b, pa.int64())})
-    x, y = flush(held)
-    yield pa.RecordBatch.from_pydict({"leader": pa.array(x, pa.int64()), "tid": pa.array(y, pa.int64())})
+        yield None
+    if held:
+        yield held
+
+
+def _alike(rows):
+    """Index pairs (i, array of j > i) of a box's rows (box, band, half, tid, label, sig, bands).
+
+    The pair is of different components, agrees on ``LIKELY`` of the signature,
+    lies across the halves of the box if it has two, and shares no earlier band,
+    where it is looked at already.
+    """
+    band, half = rows[0][1], np.array([r[2] for r in rows])
+    label = np.array([r[4] for r in rows])
+    sig = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+    keys = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.int64).reshape(len(rows), -1)[:, :band]
+    across = bool((half != half[0]).any())
+    for i in range(len(rows) - 1):
+        ok = label[i + 1 :] != label[i]
+        if across:
+            ok &= half[i + 1 :] != half[i]
+        at = np.flatnonzero(ok) + i + 1
+        at = at[(sig[at] == sig[i]).mean(axis=1) >= LIKELY] if len(at) else at
+        at = at[~(keys[at] == keys[i]).any(axis=1)] if len(at) and band else at
+        if len(at):
+            yield i, at
+
+
+_ROW = ("box", "band", "half", "tid", "label", "sig", "bands")
+
+
+def _screen(batches):
+    """(box, tid) of the rows that have a pair to verify in their box."""
+    import pyarrow as pa
+
+    box, tid = [], []
+    for rows in _boxes(batches, _ROW):
+        if rows is not None:
+            found = sorted({x for i, at in _alike(rows) for x in (i, *at.tolist())})
+            box += [rows[0][0]] * len(found)
+            tid += [rows[x][3] for x in found]
+        if rows is None or len(box) > 10_000:
+            yield pa.RecordBatch.from_pydict({"box": pa.array(box, pa.int64()), "tid": pa.array(tid, pa.int64())})
+            box, tid = [], []
+    yield pa.RecordBatch.from_pydict({"box": pa.array(box, pa.int64()), "tid": pa.array(tid, pa.int64())})
 
 
-def _remaining(members: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs across components that share a bucket, were not compared with its leader and look alike."""
+def _joined_up(shingle: int, similarity: float):
+    """Links that hold inside a box, as many as it takes to join its components."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rows in _boxes(batches, (*_ROW, "text")):
+            a, b = [], []
+            if rows is not None:
+                bags = shingles(Words(text_bytes([r[7] for r in rows]), PLAIN), shingle)
+                top: dict[int, int] = {}
+
+                def root(x, top=top):
+                    while x in top:
+                        x = top[x]
+                    return x
+
+                for i, at in _alike(rows):
+                    for j in at:
+                        x, y = root(rows[i][4]), root(rows[j][4])
+                        if x != y and similarity_of(bags[i], bags[j]) >= similarity:
+                            top[x] = y
+                            a.append(rows[i][3])
+                            b.append(rows[j][3])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _remaining(members: DataFrame, labels: DataFrame, texts: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links across components among the texts of a bucket that were not compared with each other yet.
+
+    Buckets are cut into blocks; a box is a block or a pair of blocks.  First only
+    signatures travel and say who has a likely partner, then their texts.
+    """
     others = members.filter("tid <> leader").join(labels.withColumnRenamed("v", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     mixed = others.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = others.join(written(mixed), "key").withColumn("mine", F.pmod(F.xxhash64("tid"), "blocks").cast("int"))
+    rows = others.join(written(mixed), "key").withColumn("half", F.pmod(F.xxhash64("tid"), "blocks").cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    box = F.xxhash64("key", F.least("mine", "with"), F.greatest("mine", "with"))
-    rows = rows.select(box.alias("box"), F.col("mine").alias("half"), "tid", "label").join(sigs, "tid")
-    return rows.repartition("box").sortWithinPartitions("box").select("box", "half", "tid", "label", "sig").mapInArrow(_likely, "leader long, tid long").distinct()
+    rows = written(rows.select(F.xxhash64("key", F.least("half", "with"), F.greatest("half", "with")).alias("box"), "band", "half", "tid", "label"))
+    signed = rows.join(texts.select("tid", "sig", "bands"), "tid").select(*_ROW)
+    busy = written(signed.repartition("box").sortWithinPartitions("box").mapInArrow(_screen, "box long, tid long"))
+    full = rows.join(busy, ["box", "tid"]).join(texts.select("tid", "sig", "bands"), "tid").join(found, "tid").select(*_ROW, "text")
+    return written(full.repartition("box").sortWithinPartitions("box").mapInArrow(_joined_up(shingle, similarity), "a long, b long"))
 
 
 def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 5) -> DataFrame:
     """doc_id, class_id (the smallest id of its class of near duplicates) for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(map_batches(docs.filter("doc_id is not null"), _signed(shingle, bands, rows), "doc_id long, tid long, keys array<long>, sig binary"))
+    signed = written(map_batches(docs.filter("doc_id is not null"), _signed(shingle, bands, rows), "doc_id long, tid long, keys array<long>, bands binary, sig binary"))
     filled = signed.filter(F.size("keys") > 0)
-    texts = written(filled.groupBy("tid").agg(F.min(F.struct("doc_id", "keys", "sig")).alias("v")).select("tid", F.col("v.doc_id").alias("low"), "v.keys", "v.sig"))
-    placed = texts.select(F.explode("keys").alias("key"), "tid")
+    texts = written(filled.groupBy("tid").agg(F.min(F.struct("doc_id", "keys", "bands", "sig")).alias("v")).select("tid", F.col("v.doc_id").alias("low"), "v.keys", "v.bands", "v.sig"))
+    placed = texts.select(F.posexplode("keys").alias("band", "key"), "tid")
     buckets = written(placed.groupBy("key").agg(F.min("tid").alias("leader"), F.max("tid").alias("high")).filter("leader < high").select("key", "leader"))
     members = written(placed.join(buckets, "key"))
     pairs = written(members.filter("tid <> leader").select("leader", "tid").distinct())
@@ -255,8 +311,7 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ban
         ).dropDuplicates(["tid"])
     )
     links = _verify(pairs, found, shingle, similarity)
-    more = _remaining(members, components(links), texts.select("tid", "sig")).join(pairs, ["leader", "tid"], "left_anti")
-    links = links.unionByName(_verify(more, found, shingle, similarity))
+    links = links.unionByName(_remaining(members, components(links), texts, found, shingle, similarity))
     labels = components(links)
     named = labels.withColumnRenamed("v", "tid").join(texts.select("tid", "low"), "tid")
     classes = named.groupBy("label").agg(F.min("low").alias("class_id")).join(labels, "label").select(F.col("v").alias("tid"), "class_id")
@@ -268,9 +323,12 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ban
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, and rows without an id."""
-    classes = near_classes(docs, **options).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """The rows of ``docs`` but those whose id is not the smallest of its class.
+
+    Rows of one id are one document and stay together; rows without an id stay.
+    """
+    gone = written(near_classes(docs, **options).filter("doc_id <> class_id").select("doc_id").distinct())
+    return docs.join(F.broadcast(gone) if size_of(gone, BROADCAST_IDS) <= BROADCAST_IDS else gone, "doc_id", "left_anti")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
