@@ -231,6 +231,12 @@ def template_parameters(spark, sf_dir):
     return d.select("doc_id", F.array_join(X.parameters(F.col("t")), ",").alias("parameters"), F.array_join(X.missing_parameters(F.col("t"), F.array(F.lit("n"), F.lit("theme"))), ",").alias("missing"))
 
 
+def bait_pairs_of(spark, sf_dir):
+    """Pairs of lines of the documents that have an even number of them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", X.pairs(X.verses(F.col("text"))).alias("p"))
+    return d.select("doc_id", F.posexplode("p").alias("pair_no", "pair")).select("doc_id", F.col("pair_no").cast("long").alias("pair_no"), F.col("pair.first").alias("first"), F.col("pair.second").alias("second"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (

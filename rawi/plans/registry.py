@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rawi.plans import corpus_queries, data_queries, rhyme_queries, verse_queries
+from rawi.plans import corpus_queries, data_queries, flow_queries, rhyme_queries, verse_queries
 
-MODULES = (corpus_queries, rhyme_queries, data_queries, verse_queries)
+MODULES = (corpus_queries, rhyme_queries, data_queries, verse_queries, flow_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
