@@ -33,7 +33,6 @@ from .common import map_batches, slices, table, written
 from .wordstream import LETTERS, Shelf, Words, mix, window_hashes
 
 LONGEST = 4
-_COUNT = np.dtype([("lang", np.int32), ("kind", np.int32), ("key", np.int64)])
 
 
 def crc(column: Column) -> Column:
@@ -44,15 +43,22 @@ def _lower(values) -> list[bytes]:
     return [b"" if v is None else v.lower().encode("utf-8", "surrogatepass") for v in values]
 
 
-def grams(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the n-character sequences of marked words, each with its word's index and its position in the run of characters."""
-    run = "".join(f"^{w.decode('utf-8', 'surrogatepass')}$\n" for w in words)
-    code = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    owner = np.cumsum(code == 10) - (code == 10)
-    h = window_hashes(mix(code.astype(np.uint64) + np.uint64(n << 32)), n)
-    m = len(h)
-    at = np.flatnonzero((owner[:m] == owner[n - 1 :]) & (code[:m] != 10) & (code[n - 1 :] != 10))
-    return h[at], owner[at], at
+class Run:
+    """Marked words as one run of characters, for the sequences of every length."""
+
+    def __init__(self, words: list[bytes]):
+        run = (b"^" + b"$\n^".join(words) + b"$\n").decode("utf-8", "surrogatepass")
+        self.code = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        ends = self.code == 10
+        self.owner = np.cumsum(ends) - ends
+        self.inner = ~ends
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the n-character sequences inside words, each with its word's index and its place in the run."""
+        h = window_hashes(mix(self.code.astype(np.uint64) + np.uint64(n << 32)), n)
+        m = len(h)
+        at = np.flatnonzero((self.owner[:m] == self.owner[n - 1 :]) & self.inner[n - 1 :])
+        return h[at], self.owner[at], at
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,14 +70,21 @@ def _counting(batches):
     """Counts (lang, kind, key, n) of a task; kind 0 is a word, 1 to 4 a sequence of that length."""
     import pyarrow as pa
 
-    held, size = [], 0
+    held: dict[tuple[int, int], list] = {}
+    size = 0
 
     def merge():
-        keys, n = _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-        return keys, n
-
-    def batch_of(keys, n):
-        return pa.RecordBatch.from_pydict({c: pa.array(np.ascontiguousarray(keys[c])) for c in ("lang", "kind", "key")} | {"n": pa.array(n)})
+        for at, parts in held.items():
+            held[at] = [_summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))]
+        return sum(len(parts[0][0]) for parts in held.values())
+
+    def rows():
+        merge()
+        cols = {"lang": [], "kind": [], "key": [], "n": []}
+        for (lang, kind), [(keys, n)] in held.items():
+            for name, part in (("lang", np.full(len(keys), lang, np.int32)), ("kind", np.full(len(keys), kind, np.int32)), ("key", keys.view(np.int64)), ("n", n)):
+                cols[name].append(part)
+        return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(v)) for c, v in cols.items()})
 
     for batch in batches:
         for part in slices(batch, "text", 4 << 20):
@@ -80,25 +93,22 @@ def _counting(batches):
             for lang in np.unique(of):
                 here = np.flatnonzero(of == lang)
                 h, first, times = np.unique(words.hash[here], return_index=True, return_counts=True)
-                parts = [(0, h, times)]
-                spelled = [words.word(i) for i in here[first]]
+                parts = [(h, times)]
+                run = Run([words.word(i) for i in here[first]])
                 for n in range(1, LONGEST + 1):
-                    g, owner, _ = grams(spelled, n)
-                    parts.append((n, g, times[owner]))
-                for kind, key, weight in parts:
-                    rows = np.zeros(len(key), dtype=_COUNT)
-                    rows["lang"], rows["kind"], rows["key"] = lang, kind, key.view(np.int64)
-                    rows, weight = _summed(rows, weight)
-                    held.append((rows, weight))
-                    size += len(rows)
-            if size > 1_500_000:
-                held = [merge()]
-                size = len(held[0][0])
-                if size > 1_000_000:
-                    yield batch_of(*held[0])
-                    held, size = [], 0
+                    g, owner, _ = run.grams(n)
+                    parts.append(_summed(g, times[owner]))
+                for kind, (key, n) in enumerate(parts):
+                    held.setdefault((int(lang), kind), []).append((key, n))
+                    size += len(key)
+            if size > 2_000_000:
+                size = merge()
+                if size > 1_200_000:
+                    yield rows()
+                    held.clear()
+                    size = 0
     if held:
-        yield batch_of(*merge())
+        yield rows()
 
 
 class Tables:
@@ -122,11 +132,10 @@ class Tables:
         """Scores of words outside the table: mean over positions of the longest known sequence."""
         out = np.zeros((len(words), len(self.langs)))
         places = np.zeros(len(words))
-        done: np.ndarray | None = None
+        run = Run(words)
+        done = np.zeros(len(run.code), dtype=bool)
         for n in range(LONGEST, 0, -1):
-            h, owner, at = grams(words, n)
-            if done is None:
-                done = np.zeros(int(sum(len(w) for w in words)) + 4 * len(words) + 8, dtype=bool)
+            h, owner, at = run.grams(n)
             fresh = ~done[at]
             i, key = self.shelves[n].find(h[fresh])
             who, where = owner[fresh][i], at[fresh][i]
