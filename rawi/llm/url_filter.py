@@ -79,7 +79,7 @@ class UrlModel:
         self.bits, self.weight, self.bias = bits, np.zeros(1 << bits), 0.0
         rows = [features(h, p, bits) for h, p, _ in labelled]
         y = np.array([label for *_, label in labelled], dtype=float)
-        sizes = np.array([len(r) for r in rows])
+        sizes = np.array([len(r) for r in rows], dtype=np.int64)
         flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
         row = np.repeat(np.arange(len(rows)), sizes)
         scale = 1 / np.sqrt(np.maximum(sizes, 1))

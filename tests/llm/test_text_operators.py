@@ -1,0 +1,184 @@
+"""URL filter, language, toxicity, quality and secrets."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rawi.llm import language_id, quality_rules, secrets_scan, toxicity, url_filter
+from rawi.llm.wordstream import PLAIN, Words, window_hashes
+
+from .helpers import SCHEMA, WORD, documents, frame, odd_rows
+
+
+def test_words_and_windows():
+    w = Words(["a bb  a".encode(), b"", b"bb a", "é".encode() + b"x" * 300], PLAIN)
+    assert [w.word(i) for i in range(6)][:5] == [b"a", b"bb", b"a", b"bb", b"a"]
+    assert w.counts.tolist() == [3, 0, 2, 1] and w.hash[0] == w.hash[2] == w.hash[4] != w.hash[1]
+    h = np.arange(40, dtype=np.uint64)
+    for k in (1, 2, 3, 5, 7, 25):
+        g = window_hashes(h, k)
+        assert len(g) == 40 - k + 1 and len(set(g.tolist())) == len(g)
+        assert window_hashes(np.concatenate([h, h]), k)[40] == g[0]
+    assert len(window_hashes(h[:2], 3)) == 0
+    assert Words([]).counts.tolist() == []
+
+
+def test_url_rules(spark):
+    urls = ["http://A.Example.ORG/es/1", "https://x.org/en", "http://example.org/en/12", "ftp://x.com/fr/a?b", "http://com/de/1#x", "nothing", None, "http://cheap-pills.example.net/buy", "http://library.example.net/x", "http://x.org?q", "http://notexample.org/es/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit("z"), "score": F.lit("z")})
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages).collect()}
+    assert got[0] == ("a.example.org", "/es/1", "example.org/es/", "block")
+    assert got[1] == ("x.org", "/en", "org/", "allow")
+    assert got[2][2:] == ("example.org/en/1", "block")
+    assert got[3] == ("x.com", "/fr/a", "com/fr/", "allow")
+    assert got[4] == ("com", "/de/1", "com/de/", "block")
+    assert got[5] == got[6] == ("", "", None, "allow")
+    assert got[7][2:] == (None, "block") and got[8][2:] == (None, "allow")
+    assert got[9][:3] == ("x.org", "", None)
+    assert got[10][2:] == ("org/", "allow")
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_url_model_learns():
+    m = url_filter.UrlModel([(f"bad{i}.net", "/x", 1) for i in range(20)] + [(f"fine{i}.net", "/x", 0) for i in range(20)])
+    assert m.score("bad99.net", "/x") > 0.5 > m.score("fine99.net", "/x")
+    assert url_filter.UrlModel([]).score("a", "/") == 0.5
+
+
+def test_language(spark):
+    docs = frame(spark, documents(200), clashing=True)
+    tables = language_id.learn(language_id.learning_rows(docs))
+    got = language_id.identify(docs, tables).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 20 and sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in got)
+    odd = frame(spark, odd_rows(), clashing=True)
+    out = {r.doc_id: r for r in language_id.identify(odd, tables).collect()}
+    assert {i for i, r in out.items() if r.lang_pred == "und"} == {1, 2, 3, 4} and out[1].score == 0
+    assert language_id.identify(odd, tables).count() == len(odd_rows())
+    kept = language_id.in_known_language(odd, tables)
+    assert kept.columns == odd.columns and kept.filter("doc_id in (1, 2, 3, 4)").count() == 0
+    nothing = language_id.learn(docs.limit(0))
+    assert {r.lang_pred for r in language_id.identify(odd, nothing).collect()} == {"und"}
+    assert language_id.identify(docs.limit(0), tables).count() == 0
+
+
+def test_language_tables_are_bounded(spark):
+    docs = frame(spark, documents(60))
+    t = language_id.learn(docs, max_words=20, max_grams=10)
+    assert len(t.shelves[0].keys) <= 20 and all(len(t.shelves[n].keys) <= 10 for n in (1, 2, 3, 4))
+
+
+def test_toxicity(spark):
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 6 == 0
+        words = ["w" + chr(97 + int(x) // 26) + chr(97 + int(x) % 26) for x in rng.zipf(1.4, 60) % 400]
+        for p in rng.integers(0, 60, 3 * bad):
+            words[p] = "slur" + "abcd"[rng.integers(0, 4)]
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, 1, int(bad)))
+    docs, marks = frame(spark, rows, clashing=True), spark.createDataFrame([*labels, (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    held = toxicity.crc(F.col("doc_id")) % 3 == 1
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, marks, learn=~held).collect()}
+    out = [(i, t) for i, _, t in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i].predicted for i, t in out if t) >= 0.9 * sum(t for _, t in out)
+    assert sum(got[i].predicted for i, t in out if not t) <= 0.01 * len(out)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    odd = frame(spark, odd_rows(), clashing=True)
+    none = toxicity.toxicity(odd, marks.limit(0))
+    assert none.count() == len(odd_rows()) and none.select("score").distinct().count() == 1
+    assert toxicity.toxicity(docs.limit(0), marks).count() == 0
+
+
+def brute_counts(text):
+    text = text or ""
+    words = WORD.findall(text)
+    grams = Counter(zip(words, words[1:], words[2:]))
+    inside = {i + k for i, g in enumerate(zip(words, words[1:], words[2:])) if grams[g] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside)
+
+
+def test_quality(spark):
+    base = documents(90) + [(1000 + i, " ".join(f"{w}%%%$" for w in documents(1, i)[0][1].split() * 4), "en", "s0", 0) for i in range(4)] + [(2000, "a b c " * 40, "en", "s0", 0)]
+    docs = frame(spark, base, clashing=True)
+    got = {r.doc_id: r for r in quality_rules.judge_quality(docs, min_group=20).collect()}
+    for i, t, *_ in base:
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_counts(t), i
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert not (r.base_failed and r.kept)
+    assert got[2000].base_failed
+    assert not any(r.kept for i, r in got.items() if 1000 <= i < 2000)
+    clean = [r for i, r in got.items() if i < 1000 and not r.base_failed]
+    assert clean and all(r.kept for r in clean)
+    odd = frame(spark, odd_rows(), clashing=True)
+    assert quality_rules.judge_quality(odd).count() == len(odd_rows())
+    assert quality_rules.judge_quality(docs.limit(0)).count() == 0
+
+
+def test_robust_shape_ignores_outliers(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 1, (400, 4)) * [1, 2, 2, 3]
+    x[:80] += 40
+    good = spark.createDataFrame([(1, *map(float, r)) for r in x], "grp long, f0 double, f1 double, f2 double, f3 double")
+    shape = quality_rules.robust_shapes(good).first()
+    assert np.abs(np.array(shape.center)).max() < 1
+    cov = np.linalg.inv(np.array(shape.inverse).reshape(4, 4))
+    assert 0.3 < cov[0, 0] < 2 and 1.5 < cov[1, 1] < 8
+
+
+PATTERNS = (
+    ("assign", re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+)
+
+
+def base_spans(text):
+    found = sorted((m.start(), i, m.end()) for i, (_, p, ok) in enumerate(PATTERNS) for m in p.finditer(text or "") if ok(m))
+    return ",".join(f"{PATTERNS[i][0]}:{a}:{b}" for a, i, b in found)
+
+
+def test_secrets(spark, tmp_path):
+    more = [
+        (900, "é Password: 'hunter22' API_KEY=abc token=12 secret:longenough passwd = x.y-z_1", "en", "s", 0), (901, "a" * 24 + " " + "f0" * 20 + "AKIA" + "A1" * 10, "en", "s", 0),
+        (902, "see ghp_aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5 here", "en", "s", 0), (903, "thonerandinterthonerandinter internationalization 4785380592391139000", "en", "s", 0), (904, "ſecret=abcdefgh toKen=abcdefgh", "en", "s", 0),
+    ]
+    rows = documents(60) + odd_rows() + more
+    frame(spark, rows, clashing=True).write.parquet(f"{tmp_path}/documents.parquet")
+    got = secrets_scan.op8_secrets_scan(spark, str(tmp_path)).collect()
+    want = Counter((i, hashlib.sha256(base_spans(t).encode()).hexdigest()) for i, t, *_ in rows)
+    assert Counter((r.doc_id, r.base_sha256) for r in got) == want
+    by = {r.doc_id: r for r in got}
+    assert by[902].spans == "learned:4:44" and by[903].spans == "" and by[904].spans == ""
+    assert by[900].n_assign == 3
+    masked = {r.doc_id: r for r in secrets_scan.mask_secrets(frame(spark, rows)).collect()}
+    assert masked[902].text == "see [SECRET] here" and masked[902].n_chars == len(masked[902].text) and masked[903].text == more[3][1]
+    assert masked[1].text is None
+    assert secrets_scan.find_secrets(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_automaton_generalises():
+    rng = random.Random(2)
+    a = secrets_scan.Automaton(["ab" + "".join(rng.choice("stuvwxyz") for _ in range(12)) for _ in range(40)])
+    assert a.score("abstuvwxyzstuv") > a.score("qqstuvwxyzstuv") + 10 and len(a.states) < 8
+    own = [("KEY" + f"{i:06d}", "own") for i in range(40)] + [("plain", "ordinary")]
+    f = secrets_scan.Formats(own)
+    assert f.score("KEY123123") > 0 > f.score("plainwords")
+
+
+@pytest.mark.parametrize("table", ["value string, kind string"])
+def test_own_labels(spark, table):
+    labelled = spark.createDataFrame([(f"zz-{i:08d}-{i * 7919 % 100000000:08d}", "own") for i in range(60)] + [("some-ordinary-words-here", "ordinary"), (None, "own")], table)
+    docs = spark.createDataFrame([(1, "x zz-12345678-87654321 y some-ordinary-word-here", "en", "s", 0)], SCHEMA)
+    r = secrets_scan.find_secrets(docs, labelled).first()
+    assert [(s.kind, s.start, s.end) for s in r.found] == [("learned", 2, 22)]
