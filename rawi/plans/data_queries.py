@@ -247,6 +247,10 @@ QUERIES = {
     )
 }
 
+_BODY = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', '', 'g'), '(?i)<br\s*/?>|</p\s*>|</div\s*>|</h[1-6]\s*>|</li\s*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"
+for _name, _sign in J.ENTITIES:
+    _BODY = "replace(" + _BODY + ", '" + _name + "', '" + _sign.replace("'", "''") + "')"
+_HTML = f"WITH t AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split({_BODY}, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g')), lambda x: x <> ''), chr(10)) AS x FROM pages) SELECT page_id, md5(x) AS digest, length(x) AS n FROM t"
 _METRICS = ("total", "meter", "rhyme", "price")
 SQL = {
     "score_two_level_mean": f"""WITH {JUDGED}, b AS (SELECT *, split_part(source, '_vs_', 1) AS base FROM judged), f AS (SELECT count(DISTINCT file) AS n FROM b),
@@ -287,6 +291,7 @@ SQL = {
     "progress": "SELECT CAST(sum(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 0 END) AS BIGINT) AS processed, count(*) AS total, round(sum(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 0 END) * 100.0::DOUBLE / count(*), 6) AS percent FROM (SELECT DISTINCT doc_id FROM documents)",
     "section_split": "WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(0, len(x))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)), s AS (SELECT *, CAST(sum(CASE WHEN length(line) < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS section FROM l) SELECT doc_id, section, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest, count(*) AS n_lines FROM s GROUP BY doc_id, section",
     "web_gate": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 7 AND l_linenumber < 4",
+    "html_lines": _HTML,
     "id_from_name": "SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT) AS poem_id FROM pages",
     "json_from_text": "SELECT event_id, props AS json FROM events",
     "null_text": "SELECT CASE WHEN event_id % 3 <> 0 THEN event_type END AS event_type, count(*) AS n FROM events GROUP BY 1",
