@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rawi.functions import display as D
 from rawi.operators import corpus as C
 from rawi.operators import search as S
 from rawi.sources.corpus import from_documents
@@ -130,11 +131,22 @@ def value_suggestions(spark, sf_dir):
     return out
 
 
+def example_texts(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    text = D.example_text(*[F.col(x) for x in ("title", "poet_name", "poet_era", "meter", "qafiya", "theme")], F.slice("verses", 1, 2))
+    return c.select("poem_idx", text.alias("example"))
+
+
+def constraint_texts(spark, sf_dir):
+    said = D.constraint_text({"meter": F.col("meter"), "theme": F.col("theme"), "place": F.col("poet_location")})
+    return corpus(spark, sf_dir).groupBy(said.alias("said")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         corpus_search_and, corpus_search_or, corpus_search_limit, corpus_language_location, corpus_examples, corpus_from_constraints, corpus_stats, corpus_values,
-        corpus_index, corpus_exists, corpus_variations, constraint_stats, feasibility, diverse_retrieval, matched_criteria, category_profile, pattern_split, corpus_sample, value_suggestions,
+        corpus_index, corpus_exists, corpus_variations, constraint_stats, feasibility, diverse_retrieval, matched_criteria, category_profile, pattern_split, corpus_sample, value_suggestions, example_texts, constraint_texts,
     )
 }
 
@@ -178,4 +190,6 @@ SQL = {
       FROM (SELECT p_type AS value, count(*) AS n, contains(p_type, 'BRASS') AS has_token FROM part WHERE p_type IS NOT NULL GROUP BY p_type)) WHERE place <= 10""",
     "corpus_sample": _sql("SELECT poem_idx, meter FROM corpus ORDER BY md5('7:' || CAST(poem_idx AS VARCHAR)), poem_idx LIMIT 30"),
     "value_suggestions": _sql(" UNION ALL ".join(f"SELECT * FROM (SELECT DISTINCT {a} AS value, '{a}' AS attribute FROM corpus WHERE {a} <> '' ORDER BY value LIMIT 5)" for a in ("meter", "theme", "qafiya"))),
+    "example_texts": _sql("SELECT poem_idx, title || ' (' || poet_name || ', ' || poet_era || ')' || chr(10) || concat_ws(' | ', meter, qafiya, nullif(theme, '')) || chr(10) || array_to_string(verses[1:2], chr(10)) || chr(10) AS example FROM corpus"),
+    "constraint_texts": _sql("SELECT concat_ws(' | ', CASE WHEN meter <> '' THEN 'meter: ' || meter END, CASE WHEN theme <> '' THEN 'theme: ' || theme END, CASE WHEN poet_location <> '' THEN 'place: ' || poet_location END) AS said, count(*) AS n FROM corpus GROUP BY 1"),
 }
