@@ -74,6 +74,39 @@ def pattern_of(line: str) -> str:
     return "".join(out)
 
 
+#: Spellings that are read otherwise, in order; the first entry of the second list also holds at the end of a line.
+LEADING_ALIF = "أَ"
+READ_AS = (
+    ("وْا", "و"), ("الله", "اللاه"), ("اللّه", "الله"), ("إلَّا", "إِلّا"), ("نْ ال", "نَ ال"), ("لْ ال", "لِ ال"), ("إلَى", "إِلَى"), ("إذَا", "إِذَا"),
+    ("ك ", "كَ "), (" ال ", " الْ "), ("ْ ال", "ِ ال"),
+)
+#: Words with a long vowel that is not written; the first entry that a word holds is used.
+READ_WORDS = {
+    "هذا": "هَاذَا", "هذه": "هَاذِه", "هذان": "هَاذَان", "هذين": "هَاذَين", "ذلك": "ذَالِك", "ذلكما": "ذَالِكُمَا", "ذلكم": "ذَالِكُم", "الله": "اللَّاه",
+    "اللهم": "اللَّاهُمّ", "إله": "إِلَاه", "الإله": "الإِلَاه", "إلهي": "إِلَاهي", "إلهنا": "إِلَاهنا", "إلهكم": "إِلَاهكم", "إلههم": "إِلَاههم", "إلههن": "إِلَاههن",
+    "رحمن": "رَحمَان", "طاوس": "طَاوُوس", "داود": "دَاوُود", "لكنه": "لَاكِنّهُ", "أولئك": "أُلَائِك", "أولئكم": "أُلَائِكُم",
+}
+
+
+def prepared(line: str) -> str:
+    """The line spelled as it is read: a leading alif, silent alifs, the article and words with unwritten vowels."""
+    line = line.strip()
+    if line.startswith("ا"):
+        line = LEADING_ALIF + line[1:]
+    line = re.sub("وا(?= |$)", "و", line)
+    for written, read in READ_AS:
+        line = line.replace(written, read)
+    said = []
+    for word in line.split(" "):
+        bare = re.sub("[ً-ْ]", "", word)
+        key = next((k for k in READ_WORDS if k in bare), None)
+        said.append(bare.replace(key, READ_WORDS[key]) if key else word)
+    line = " ".join(said)
+    if len(line) > 1 and line[1] in ACCEPTED and line[1] not in MARKS:
+        line = line[0] + "َ" + line[1:]
+    return re.sub(f"([{TANWEEN}])ا[{MARKS}]?", r"\1", line)
+
+
 #: Letters of a line's end that carry no rhyme, forms of hamza, and ends in which ي is the rhyme.
 SKIPPED, SOMETIMES, LONG, HAMZA, YA_ENDS = "ايىو", "هةك", "اويآ", "ؤئأء", ("يا", "يه", "ية")
 
@@ -149,7 +182,7 @@ def scan(lines: pd.Series) -> pd.DataFrame:
         if x is None or not x.strip():
             return ("", None)
         try:
-            return (pattern_of(x), None)
+            return (pattern_of(prepared(x)), None)
         except (IndexError, ValueError) as e:
             return (None, str(e))
 

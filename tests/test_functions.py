@@ -104,6 +104,7 @@ def test_rhyme_steps(spark):
 def test_scansion(spark):
     assert S.pattern_of("بَ") == "10" and S.pattern_of("بَلْ") == "10"
     assert S.pattern_of("قَمَرٌ") == "1110"
+    assert S.prepared("كِتابًا") == "كِتابً" and S.prepared("كَتَبوا") == "كَتَبو" and S.prepared("هذا") == "هَاذَا"
     rows = spark.createDataFrame([("قَمَرٌ",), ("",), (None,), ("x",)], "line string").select(S.scan("line").alias("s")).collect()
     assert [r.s.pattern for r in rows][:3] == ["1110", "", ""]
     assert S.rhyme_letter("قفا نبك من ذكرى حبيب ومنزل")[0] == "ل"
