@@ -112,7 +112,7 @@ def _windows(block: int, gram: int, size: int):
                 "proof": check[take],
                 "pos": (take - words.first[text]).astype(np.int32),
                 "doc_id": part.column("doc_id").take(_pa_index(text)),
-                "same": part.column("same").take(_pa_index(text)),
+                "cid": part.column("cid").take(_pa_index(text)),
             }
             yield rows
 
@@ -126,15 +126,16 @@ def _pa_index(x):
 
 
 def _cut(size: int):
-    """Texts with the start positions of windows to remove -> counts and digest of what stays."""
+    """Texts with the places of repeated windows and the smallest id of each -> counts and digest of what stays."""
 
     def fn(batch):
         for part in slices(batch, "text"):
             removed, sha, spans = [], [], []
-            for text, starts in zip(text_bytes(part.column("text").to_pylist()), part.column("starts").to_pylist(), strict=True):
-                parts = text.split()
+            columns = (part.column(c).to_pylist() for c in ("doc_id", "text", "starts"))
+            for own, text, starts in zip(*columns, strict=True):
+                parts = text.encode("utf-8", "surrogatepass").split()
                 edge = np.zeros(len(parts) + 1, dtype=np.int64)
-                at = np.unique(np.array(starts, dtype=np.int64))
+                at = np.unique(np.array([x["pos"] for x in starts if x["low"] < own], dtype=np.int64))
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + size, -1)
                 gone = np.cumsum(edge)[:-1] > 0
@@ -159,17 +160,18 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, block: int = 25, gram:
     scanned = written(
         map_batches(docs, _scan(block, gram), "doc_id long, same binary, n_words long, all_sha string, keys array<long>, refs array<boolean>")
     )
-    # one document stands for all with the same text: the smallest id
+    # one document stands for all with the same text: the smallest id; from here on it goes by a number
     first = scanned.filter("doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "keys", "refs")).alias("v"))
-    leaders = written(first.select("same", "v.doc_id", "v.keys", "v.refs"))
-    rows = leaders.filter(F.size("keys") > 0).select("same", F.explode(F.arrays_zip("keys", "refs")).alias("a"), "doc_id").select(F.col("a.keys").alias("key"), F.col("a.refs").alias("ref"), "doc_id", "same")
-    met = (
+    leaders = written(first.select("same", "v.doc_id", "v.keys", "v.refs", F.monotonically_increasing_id().alias("lid")))
+    rows = leaders.filter(F.size("keys") > 0).select("lid", "doc_id", F.inline(F.arrays_zip("keys", "refs"))).withColumnsRenamed({"keys": "key", "refs": "ref"})
+    met = written(
         rows.groupBy("key")
         .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("ref").alias("ref"))
         .filter("low < high and ref")
         .select("key")
     )
-    hits = written(rows.select("key", "doc_id", "same").join(met, "key").groupBy("doc_id", "same").agg(F.collect_set("key").alias("hits")))
+    hits = rows.select("key", "lid").join(met, "key").groupBy("lid").agg(F.collect_set("key").alias("hits"))
+    hits = written(hits.join(leaders.select("lid", "doc_id", "same"), "lid").drop("lid"))
     # texts of the candidates only, found by id where the ids are few enough to send
     ids = hits.select("doc_id").distinct()
     texts = docs.filter("doc_id is not null")
@@ -179,11 +181,12 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, block: int = 25, gram:
         lambda batch: iter([{"doc_id": batch.column("doc_id"), "text": batch.column("text"), "same": [hashlib.blake2b(t, digest_size=16).digest() for t in text_bytes(batch.column("text").to_pylist())]}]),
         "doc_id long, text string, same binary",
     ).dropDuplicates(["doc_id", "same"])
-    candidates = written(same.join(hits, ["doc_id", "same"]))
-    windows = written(map_batches(candidates, _windows(block, gram, min_words), "window long, proof int, pos int, doc_id long, same binary"))
-    low = windows.groupBy("window", "proof").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
-    starts = windows.join(low, ["window", "proof"]).filter("doc_id > low").groupBy("doc_id", "same").agg(F.collect_list("pos").alias("starts"))
-    cut = map_batches(candidates.drop("hits").join(starts, ["doc_id", "same"]), _cut(min_words), "doc_id long, same binary, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>")
+    candidates = written(same.join(hits, ["doc_id", "same"]).withColumn("cid", F.monotonically_increasing_id()))
+    windows = written(map_batches(candidates, _windows(block, gram, min_words), "window long, proof int, pos int, doc_id long, cid long"))
+    # written, so that both sides of the join below are plain exchanges, which adaptive execution may split
+    low = written(windows.groupBy("window", "proof").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high"))
+    starts = windows.select("window", "proof", "pos", "cid").join(low, ["window", "proof"]).groupBy("cid").agg(F.collect_list(F.struct("pos", "low")).alias("starts"))
+    cut = map_batches(candidates.drop("hits").join(starts, "cid"), _cut(min_words), "doc_id long, same binary, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>")
     base = scanned.select("doc_id", "same", "n_words", "all_sha").join(leaders.select("same", F.col("doc_id").alias("leader")), "same", "left")
     whole = (F.col("doc_id") > F.col("leader")) & (F.col("n_words") >= min_words)
     every = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
