@@ -75,6 +75,16 @@ def test_language_tables_are_bounded(spark):
     assert len(t.shelves[0].keys) <= 20 and all(len(t.shelves[n].keys) <= 10 for n in (1, 2, 3, 4))
 
 
+def test_language_scores_do_not_depend_on_what_tasks_hold(spark):
+    docs = frame(spark, documents(120) + odd_rows() + [(700, "thonqqq " * 6000, None, "s", 0), (701, "zzthon wwwer " * 3, None, "s", 0)], clashing=True)
+    rows = language_id.learning_rows(docs)
+    told = lambda t: sorted(((r.doc_id is None, r.doc_id, r.lang_pred, round(r.score, 9)) for r in language_id.identify(docs, t).collect()), key=repr)
+    whole, small = language_id.learn(rows), language_id.learn(rows, max_words=20, max_grams=10)
+    assert told(whole) == told(small)
+    kept = lambda t: Counter(r.doc_id for r in language_id.in_known_language(docs, t, 0.9).collect())
+    assert kept(whole) == kept(small)
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     rows, labels = [], []
