@@ -4,11 +4,13 @@ Method.  Base rules on counts reject short and repetitive texts.  The others are
 described by four transformed statistics (word length, symbols, repeated lines,
 repeated three-word windows).  For each (language, source) the minimum covariance
 determinant estimate is sought by concentration steps over all its documents:
-from a median/MAD start and a classical start, the ``share`` of documents with
-the smallest Mahalanobis distances gives the next mean and covariance, and the
-start with the smaller determinant wins.  A document is rejected when its squared
-distance, with the covariance scaled for consistency and floored by ``FLOORS``,
-exceeds ``cut`` (the chi-square quantile with 4 degrees of freedom at 1 - 3e-7).
+from a median/MAD start and a classical start, the half of the documents
+((n + p + 1) / 2, and those in the distance bin of the last one) with the smallest
+Mahalanobis distances gives the next mean and covariance, until the determinant
+stops falling, and the start with the smaller determinant wins.  A document is
+rejected when its squared distance, with the covariance scaled for consistency
+and floored by ``FLOORS``, exceeds ``cut`` (the chi-square quantile with 4 degrees
+of freedom at 1 - 3e-7).
 
 Scale.  Every step is a scan of the small statistics table with partial sums per
 group and distance bin: the bins of a group are added up to the wanted share, so
@@ -36,11 +38,13 @@ from .wordstream import BLANKS, text_bytes
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 STATS = ("f0", "f1", "f2", "f3")
-#: Smallest standard deviation of each statistic, in its transformed unit.
-FLOORS = (0.05, 0.3, 0.5, 1.0)
+#: Smallest standard deviation of each statistic, in its transformed unit; the last is below a sixth of its range, ln 51.
+FLOORS = (0.05, 0.3, 0.5, 0.6)
 #: Chi-square quantile, 4 degrees of freedom, at 1 - 3e-7.
 CUT = 36.0
 _BINS_PER_OCTAVE = 16
+#: Least fall of a log determinant that counts.
+_FALL = 1e-6
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -131,7 +135,7 @@ def _shape(batch):
         for i, a in enumerate(STATS):
             for j in range(i, p):
                 cov[i, j] = cov[j, i] = r[f"s_{a}_{STATS[j]}"] / n - mean[i] * mean[j]
-        cov = r["scale"] * cov + np.diag(np.square(FLOORS))
+        cov = consistency(n / max(r["all"], n)) * cov + np.diag(np.square(FLOORS))
         center.append(mean.tolist())
         inverse.append(np.linalg.inv(cov).ravel().tolist())
         logdet.append(float(np.linalg.slogdet(cov)[1]))
@@ -182,30 +186,38 @@ def consistency(share: float, p: int = len(STATS)) -> float:
     return share / upto(low, p // 2 + 1)
 
 
-def robust_shapes(good: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:
+def robust_shapes(good: DataFrame) -> DataFrame:
     """Center and inverse covariance per ``grp`` of the minimum covariance determinant estimate."""
-    factor = consistency(share)
-    sums = good.groupBy("grp").agg(F.count("*").alias("n"), *_sums()).withColumn("start", F.lit(1)).withColumn("scale", F.lit(1.0))
+    sums = good.groupBy("grp").agg(F.count("*").alias("n"), *_sums()).withColumn("start", F.lit(1)).withColumn("all", F.col("n"))
     shapes = written(map_batches(sums, _shape, _SHAPE).unionByName(_median_start(good)))
     by = Window.partitionBy("grp", "start")
-    for _ in range(steps):
+    best = None
+    while best is None or not shapes.isEmpty():
         d = F.greatest(_distance(), F.lit(1e-6))
         placed = good.select("grp", *STATS).join(shapes, "grp").withColumn("bin", F.floor(F.log2(d) * _BINS_PER_OCTAVE).cast("int"))
         bins = placed.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), *_sums())
         bins = bins.withColumn("before", F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(by))
-        kept = bins.filter(F.col("before") < share * F.col("all")).groupBy("grp", "start")
-        part = kept.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _NAMES]).withColumn("scale", F.lit(factor))
-        shapes = written(map_batches(part, _shape, _SHAPE))
-    best = Window.partitionBy("grp").orderBy("logdet", "start")
-    return shapes.withColumn("place", F.row_number().over(best)).filter("place = 1").select("grp", "center", "inverse")
-
-
-def judge_quality(docs: DataFrame, share: float = 0.75, cut: float = CUT, min_group: int = 40, steps: int = 4) -> DataFrame:
+        half = F.floor((F.col("all") + len(STATS) + 1) / 2)
+        kept = bins.filter(F.col("before") < half).groupBy("grp", "start")
+        part = kept.agg(F.sum("n").alias("n"), F.first("all").alias("all"), *[F.sum(c).alias(c) for c in _NAMES])
+        new = written(map_batches(part, _shape, _SHAPE))
+        if best is None:
+            best = shapes = new
+            continue
+        # only groups whose determinant still falls take another step
+        held = best.select("grp", "start", F.col("logdet").alias("least"))
+        shapes = written(new.join(held, ["grp", "start"]).filter(F.col("logdet") < F.col("least") - _FALL).drop("least"))
+        best = written(best.join(shapes.select("grp", "start"), ["grp", "start"], "left_anti").unionByName(shapes))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))
+    return best.withColumn("place", place).filter("place = 1").select("grp", "center", "inverse")
+
+
+def judge_quality(docs: DataFrame, cut: float = CUT, min_group: int = 40) -> DataFrame:
     """Counts, base verdict, squared robust distance (null where the base rules fail) and ``kept`` per document."""
     stats = written(statistics(docs))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     good = written(_grouped(stats, min_group).select(*counts, *STATS, "grp"))
-    judged = good.join(robust_shapes(good, share, steps), "grp").withColumn("distance", _distance()).select(*counts, "distance", (F.col("distance") <= cut).alias("kept"))
+    judged = good.join(robust_shapes(good), "grp").withColumn("distance", _distance()).select(*counts, "distance", (F.col("distance") <= cut).alias("kept"))
     failed = stats.filter("base_failed").select(*counts, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return judged.unionByName(failed)
 

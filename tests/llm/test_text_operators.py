@@ -146,6 +146,21 @@ def test_robust_shape_ignores_outliers(spark):
     assert 0.3 < cov[0, 0] < 2 and 1.5 < cov[1, 1] < 8
 
 
+def test_robust_shape_with_two_fifths_outliers(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 1, (2000, 4)) * [0.1, 0.3, 0.5, 0.6]
+    x[:800, 1] += 5
+    good = spark.createDataFrame([(1, *map(float, r)) for r in x], "grp long, f0 double, f1 double, f2 double, f3 double")
+    shape = quality_rules.robust_shapes(good).first()
+    gap = x - np.array(shape.center)
+    far = np.einsum("ni,ij,nj->n", gap, np.array(shape.inverse).reshape(4, 4), gap) > quality_rules.CUT
+    assert far[:800].all() and not far[800:].any()
+
+
+def test_each_quality_statistic_can_reject():
+    assert (np.log(51) / quality_rules.FLOORS[3]) ** 2 > quality_rules.CUT
+
+
 PATTERNS = (
     ("assign", re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
