@@ -65,13 +65,16 @@ def source_targets(sized: DataFrame, cycle=(3, 1, 2), budget: float = 1.5, max_e
     return sources.select("source", "source_no", "source_size", target.cast("double").alias("target"))
 
 
-def mix_sources(docs: DataFrame, quality: DataFrame | None = None, cycle=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, quality: DataFrame | None = None, cycle=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2, seed: int = 17, row: str | None = None) -> DataFrame:
     """How many words the mix takes of each document.
 
     ``quality`` has doc_id and a positive ``weight``.  Returns doc_id, size,
-    source_size, target, copies (how often the document is taken) and taken.
+    source_size, target, copies (how often the document is taken) and taken, and
+    before them ``row`` if named: a key of each row of ``docs``, which also orders
+    rows of one id and size, after a hash of their texts.
     """
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of().alias("size")))
+    own, ties = ([row], [F.xxhash64("text").alias("tie")]) if row else ([], [])
+    sized = written(docs.select(*own, *ties, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of().alias("size")))
     targets = source_targets(sized, cycle, budget, max_epochs)
     keyed = sized
     if quality is not None:
@@ -86,13 +89,13 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, cycle=(3, 1,
     ranges = keyed.groupBy("source_no", "range").agg(F.sum("size").alias("in_range"))
     earlier = Window.partitionBy("source_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("source_no", "range", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source_no", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source_no", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", *(["tie", *own] if own else [])).rowsBetween(Window.unboundedPreceding, 0)
     running = keyed.withColumn("upto", F.sum("size").over(inside)).join(ranges, ["source_no", "range"])
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(F.lit(0)).cast("int")
     rest = F.col("target") - epochs * F.col("source_size")
     drawn = (epochs < max_epochs) & (2 * (F.col("before") + F.col("upto")) - F.col("size") <= 2 * rest)
     copies = epochs + drawn.cast("int")
-    return running.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return running.select(*own, "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
@@ -102,10 +105,10 @@ def label_weights(labels: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
-    """The documents that the mix takes, once each, with ``copies`` and ``taken``; ids are taken to be unique."""
-    takes = mix_sources(docs, quality, **options).filter("copies > 0").select("doc_id", F.col("copies").alias("_copies"), F.col("taken").alias("_taken"))
-    clash = [c for c in ("copies", "taken") if c in docs.columns]
-    return docs.drop(*clash).join(takes.dropDuplicates(["doc_id"]), "doc_id").withColumnsRenamed({"_copies": "copies", "_taken": "taken"})
+    """The rows that the mix takes, once each, with ``copies`` and ``taken``; null and repeated ids are rows of their own."""
+    docs = written(docs.drop("copies", "taken").withColumn("_row", F.monotonically_increasing_id()))
+    takes = mix_sources(docs, quality, row="_row", **options).filter("copies > 0").select("_row", "copies", "taken")
+    return docs.join(takes, "_row").drop("_row")
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

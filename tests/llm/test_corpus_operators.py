@@ -236,6 +236,19 @@ def test_source_mix(spark):
     assert {"copies", "taken"} <= set(kept.columns) and kept.filter("copies < 1").count() == 0
 
 
+def test_mixed_keeps_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, 3, *range(10, 60)]), " ".join(["w"] * rng.randint(1, 60)), "en", rng.choice("abc"), i) for i in range(300)]
+    docs = frame(spark, rows, clashing=True)
+    got = source_mix.mixed(docs).collect()
+    assert Counter((r.doc_id, len(r.text.split()), r.taken) for r in got) == Counter((r.doc_id, r.size, r.taken) for r in source_mix.mix_sources(docs).collect() if r.copies)
+    assert all(r.taken == r.copies * len(r.text.split()) for r in got)
+    assert len({r.n_chars for r in got}) == len(got) and any(r.doc_id is None for r in got)
+    again = source_mix.mixed(docs.repartition(7)).collect()
+    key = lambda r: (r.doc_id, r.text, r.source, r.taken)
+    assert Counter(map(key, again)) == Counter(map(key, got))
+
+
 def test_token_counts(spark):
     tiktoken = pytest.importorskip("tiktoken")
     if not Path(token_counts.TOKENIZERS).exists():
