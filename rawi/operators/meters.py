@@ -150,6 +150,17 @@ def line_patterns(spark: SparkSession) -> DataFrame:
     return whole.join(parents, "meter").select(F.col("of").alias("meter"), "pattern").distinct()
 
 
+def line_feet(spark: SparkSession) -> DataFrame:
+    """(meter, pattern, feet) of whole lines, with the first combination of half lines that makes the pattern; # parts the halves."""
+    h = spark.createDataFrame([(i, *r) for i, r in enumerate(half_rows())], "i int, meter string, ending string, half int, pattern string, feet string")
+    one, two = h.filter("half = 0 and ending = 'one'"), h.filter("ending <> 'one'")
+    second = two.filter("half = 1").select("meter", "ending", F.col("i").alias("j"), F.col("pattern").alias("p2"), F.col("feet").alias("f2"))
+    whole = two.filter("half = 0").join(second, ["meter", "ending"]).select("meter", "i", "j", F.concat("pattern", "p2").alias("pattern"), F.concat_ws("#", "feet", "f2").alias("feet"))
+    whole = whole.unionByName(one.select("meter", "i", F.lit(-1).alias("j"), "pattern", "feet"))
+    parents = meters(spark).select("meter", F.explode(F.array_distinct(F.array("meter", F.coalesce("parent", "meter")))).alias("of"))
+    return whole.join(parents, "meter").groupBy(F.col("of").alias("meter"), "pattern").agg(F.min_by("feet", F.struct("i", "j")).alias("feet"))
+
+
 def with_pattern(lines: DataFrame, patterns: DataFrame, column: str = "pattern") -> DataFrame:
     """Lines joined to every meter that has their pattern."""
     return lines.join(patterns.withColumnRenamed("pattern", column), column)

@@ -26,20 +26,30 @@ def pattern_membership(spark, sf_dir):
     return starts.join(F.broadcast(M.feet(spark)), "pattern").groupBy("foot", "form", "pattern").agg(F.count("*").alias("n"))  # 37 fixed rows
 
 
-def half_membership(spark, sf_dir):
+def half_prefix_membership(spark, sf_dir):
     """Lines that begin with a half line of a one-half meter or of any meter's first half."""
     halves = M.halves(spark).filter("half = 0").select("meter", "pattern").distinct()
     starts = beats(spark, sf_dir).select("doc_id", "pos", F.explode(F.transform(F.sequence(F.lit(8), F.lit(32)), lambda n: F.substring("beat", F.lit(1), n))).alias("pattern")).distinct()
     return starts.join(halves, "pattern").groupBy("meter").agg(F.count("*").alias("n"))
 
 
-def pattern_to_feet(spark, sf_dir):
+def first_foot(spark, sf_dir):
     """First foot of each line by first letters, with the pattern that names it first."""
     names = M.feet(spark).groupBy("pattern").agg(F.min(F.struct("foot", "form")).alias("f")).select("pattern", "f.foot", "f.form")
     start = beats(spark, sf_dir).select("doc_id", "pos", F.substring("beat", 1, 5).alias("pattern"))
     return start.join(F.broadcast(names), "pattern", "left").select("doc_id", "pos", "pattern", "foot", "form")
 
 
+def whole_pattern_membership(spark, sf_dir):
+    """Lines whose whole pattern belongs to a meter, by meter."""
+    return M.with_pattern(beats(spark, sf_dir), M.line_patterns(spark), "beat").groupBy("meter").agg(F.count("*").alias("n"))
+
+
+def whole_pattern_to_feet(spark, sf_dir):
+    """All feet of each line by its whole pattern, once for every meter that has it; null where none has."""
+    return beats(spark, sf_dir).join(M.line_feet(spark).withColumnRenamed("pattern", "beat"), "beat", "left").select("doc_id", "pos", "beat", "meter", "feet")
+
+
 def marked(spark, sf_dir):
     """Transliterated lines with a mark behind every letter: fatha before a vowel's place, else sukun."""
     lines = rhyme_queries.lines(spark, sf_dir)
@@ -61,13 +71,21 @@ def diacritics(spark, sf_dir):
     return text.select("doc_id", F.size("issues").cast("long").alias("n_issues"))
 
 
-QUERIES = {f.__name__: f for f in (pattern_membership, half_membership, pattern_to_feet, scansion, rawwy, diacritics)}
+QUERIES = {f.__name__: f for f in (pattern_membership, half_prefix_membership, first_foot, whole_pattern_membership, whole_pattern_to_feet, scansion, rawwy, diacritics)}
 
 _BEATS = "beats AS (SELECT * FROM (SELECT doc_id, pos, translate(translate(regexp_replace(line, '[^a-z]', '', 'g'), 'aeiou', '11111'), 'bcdfghjklmnpqrstvwxyz', '000000000000000000000') AS beat FROM (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM (SELECT doc_id, string_split(lower(coalesce(text, '')), chr(10)) AS l FROM documents))) WHERE beat <> '')"
 _FEET = "feet(foot, form, pattern) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in M.foot_rows()) + ")"
 _HALVES = "halves(meter, pattern) AS (VALUES " + ", ".join(f"('{m}', '{p}')" for m, p in sorted({(r[0], r[3]) for r in M.half_rows() if r[2] == 0})) + ")"
+_LINES = (
+    "h(i, meter, ending, half, pattern, feet) AS (VALUES " + ", ".join(f"({i}, '{m}', '{e}', {k}, '{p}', '{f}')" for i, (m, e, k, p, f) in enumerate(M.half_rows())) + "), "
+    "parents(meter, parent) AS (VALUES " + ", ".join(f"('{m}', '{of}')" for m, (*_, parent) in M.METERS.items() for of in dict.fromkeys((m, parent or m))) + "), "
+    "whole AS (SELECT a.meter, a.i, b.i AS j, a.pattern || b.pattern AS beat, a.feet || '#' || b.feet AS feet FROM h a JOIN h b ON a.meter = b.meter AND a.ending = b.ending AND a.half = 0 AND b.half = 1 UNION ALL SELECT meter, i, -1, pattern, feet FROM h WHERE ending = 'one'), "
+    "line_feet AS (SELECT parent AS meter, beat, arg_min(feet, i::BIGINT * 1000000 + j) AS feet FROM whole JOIN parents USING (meter) GROUP BY parent, beat)"
+)
 SQL = {
+    "whole_pattern_membership": f"WITH {_BEATS}, {_LINES} SELECT meter, count(*) AS n FROM beats JOIN line_feet USING (beat) GROUP BY meter",
+    "whole_pattern_to_feet": f"WITH {_BEATS}, {_LINES} SELECT doc_id, pos, beat, meter, feet FROM beats LEFT JOIN line_feet USING (beat)",
     "pattern_membership": f"WITH {_BEATS}, {_FEET} SELECT foot, form, pattern, count(*) AS n FROM beats JOIN feet ON starts_with(beat, pattern) GROUP BY ALL",
-    "half_membership": f"WITH {_BEATS}, {_HALVES} SELECT meter, count(*) AS n FROM (SELECT doc_id, pos, unnest(list_distinct(list_transform(range(8, 33), lambda k: substr(beat, 1, k)))) AS pattern FROM beats) JOIN halves USING (pattern) GROUP BY meter",
-    "pattern_to_feet": f"WITH {_BEATS}, {_FEET}, first AS (SELECT pattern, foot, form FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY foot, form) AS r FROM feet) WHERE r = 1) SELECT doc_id, pos, substr(beat, 1, 5) AS pattern, foot, form FROM beats LEFT JOIN first ON first.pattern = substr(beat, 1, 5)",
+    "half_prefix_membership": f"WITH {_BEATS}, {_HALVES} SELECT meter, count(*) AS n FROM (SELECT doc_id, pos, unnest(list_distinct(list_transform(range(8, 33), lambda k: substr(beat, 1, k)))) AS pattern FROM beats) JOIN halves USING (pattern) GROUP BY meter",
+    "first_foot": f"WITH {_BEATS}, {_FEET}, first AS (SELECT pattern, foot, form FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY foot, form) AS r FROM feet) WHERE r = 1) SELECT doc_id, pos, substr(beat, 1, 5) AS pattern, foot, form FROM beats LEFT JOIN first ON first.pattern = substr(beat, 1, 5)",
 }

@@ -125,6 +125,21 @@ def test_meters(spark):
     assert M.search_meters(M.meters(spark), "rajaz").count() == 4
 
 
+def test_feet_of_whole_lines(spark, tmp_path):
+    from rawi.plans import registry
+
+    beat = "1101011010101101011011011010110101011010110110"
+    lines = "\n".join(x.translate({48: "b", 49: "a"}) for x in (beat, beat[:-1], "1010110" * 2))
+    spark.createDataFrame([(1, lines)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["whole_pattern_to_feet"](spark, str(tmp_path)).collect()
+    shapes = {(f, c): p for f, c, p in M.foot_rows()}
+    feet = [r.feet for r in got if r.pos == 0 and r.meter == "Taweel"]
+    assert len(feet) == 1 and "".join(shapes.get(tuple(x.split(":")), M.modify(M.FEET[x.split(":")[0]][0], x.split(":")[1])) for x in feet[0].replace("#", " ").split()) == beat
+    assert [r.feet for r in got if r.pos == 1] == [None] and {r.meter for r in got if r.pos == 2} >= {"Rajaz", "RajazManhook"}
+    n = {r.meter: r.n for r in registry.queries()["whole_pattern_membership"](spark, str(tmp_path)).collect()}
+    assert n["Taweel"] == 1 and n["RajazManhook"] == 1
+
+
 def test_json_and_html(spark):
     assert one(spark, J.json_text(F.col("x")), 'a ```json\n{"a":1}\n``` b') == '{"a":1}'
     assert one(spark, J.json_text(F.col("x")), 'a {"a":1} b') == '{"a":1}'
