@@ -4,11 +4,12 @@ Method.  For each kind of labelled credential a prefix tree of its strings is
 built and states whose symbol and end frequencies agree within the Hoeffding
 bound are merged (red and blue states, a state's own parent is tried first, so
 random tails become loops while literal prefixes stay chains).  The result is a
-probabilistic automaton.  Candidates are all maximal runs of credential
-characters of at least ``min_length``; a candidate's score is its mean
-log-likelihood per character under the best automaton minus that under a
-character-class chain of ordinary strings, and it is reported as ``learned``
-above ``cut`` unless a base span covers part of it.
+probabilistic automaton.  Candidates are the maximal runs of credential
+characters, less what base spans cover and less ``.``, ``-`` and ``=`` at their
+ends, that are at least as long as the shortest labelled credential (or
+``min_length``).  Every candidate is scored: its mean log-likelihood per
+character under the best automaton minus that under a character-class chain of
+ordinary strings; above ``cut`` it is reported as ``learned``.
 
 Base patterns: ``assign`` (a keyword, a separator and a value of 6 or more
 characters), ``access`` (AKIA and capitals or digits, 20 or more characters) and
@@ -16,7 +17,9 @@ characters), ``access`` (AKIA and capitals or digits, 20 or more characters) and
 
 Scale.  One scan without a shuffle.  Runs and keywords are found by vector and
 substring search over small batches; regular expressions run only on texts that
-hold a keyword.  The automata are a few hundred states.
+hold a keyword.  Base spans are laid out once per batch and offsets come from one
+running count of characters, so the time is linear in a text whatever it holds.
+The automata are a few hundred states.
 
 Results on odd input.  Null and empty texts have no spans.  Repeated rows give
 repeated results, and extra columns are ignored.  Offsets count code points.
@@ -234,6 +237,7 @@ class Formats:
             kinds[kind].append(value)
         self.ordinary = Ordinary(kinds.pop("ordinary", []))
         self.automata = [Automaton(v) for _, v in sorted(kinds.items())]
+        self.shortest = min((len(v) for values in kinds.values() for v in values), default=1)
 
     def score(self, text: str) -> float:
         if not self.automata:
@@ -246,52 +250,51 @@ def default_formats() -> Formats:
     return Formats(default_labelled())
 
 
-def _runs(raw: np.ndarray, member: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = member[raw]
+def _runs(raw: np.ndarray, table: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    return _stretches(table[raw], least)
+
+
+def _stretches(member: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of at least ``least`` true values."""
+    inside = np.zeros(len(member) + 2, dtype=np.int8)
+    inside[1:-1] = member
     step = np.diff(inside)
     a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     long = b - a >= least
     return a[long], b[long]
 
 
-def spans_of(texts: list[bytes], formats: Formats, cut: float, min_length: int) -> list[list[tuple[int, int, int]]]:
+def spans_of(texts: list[bytes], formats: Formats, cut: float, min_length: int | None = None) -> list[list[tuple[int, int, int]]]:
     """(start, kind number, end) of every span of each text, in order, in code points."""
+    least = min_length or formats.shortest
     raw = b"\n".join(texts) + b"\n"
     buf = np.frombuffer(raw, dtype=np.uint8)
     begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for a, b in zip(*_runs(buf, _HEX, 24), strict=True):
-        i = int(np.searchsorted(begin, a, "right")) - 1
-        found[i].append((int(a - begin[i]), 2, int(b - begin[i])))
-    for i, t in enumerate(texts):
+    found = [(int(a), 2, int(b)) for a, b in zip(*_runs(buf, _HEX, 24), strict=True)]
+    for t, at in zip(texts, begin.tolist(), strict=False):
         low = t.lower()
         if any(k in low for k in KEYWORDS):
-            found[i] += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+            found += [(at + m.start(), 0, at + m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
         if b"AKIA" in t:
-            found[i] += [(m.start(), 1, m.end()) for m in ACCESS.finditer(t) if m.end() - m.start() >= 20]
-    for a, b in zip(*_runs(buf, _CRED, min_length), strict=True):
-        i = int(np.searchsorted(begin, a, "right")) - 1
-        s, e = int(a - begin[i]), int(b - begin[i])
-        if any(x < e and s < y for x, _, y in found[i]):
-            continue
-        word = texts[i][s:e]
+            found += [(at + m.start(), 1, at + m.end()) for m in ACCESS.finditer(t) if m.end() - m.start() >= 20]
+    # what base spans cover holds no candidate
+    member, edge = _CRED[buf], np.zeros(len(buf) + 1, dtype=np.int32)
+    if found:
+        np.add.at(edge, [a for a, _, _ in found], 1)
+        np.add.at(edge, [b for _, _, b in found], -1)
+        member = member & (np.cumsum(edge[:-1]) == 0)
+    for a, b in zip(*_stretches(member, least), strict=True):
+        word = raw[a:b]
         body = word.strip(b".-=")
-        # a score above the cut needs a digit or a change of case somewhere inside
-        if len(body) < min_length or (body.isalpha() and (body[1:].islower() or body.isupper())):
-            continue
-        s += len(word) - len(word.lstrip(b".-="))
-        if formats.score(body.decode("ascii")) > cut:
-            found[i].append((s, 3, s + len(body)))
-    for i, spans in enumerate(found):
-        spans.sort()
-        if spans and len(texts[i]) != len(texts[i].decode("utf-8", "surrogatepass")):
-            found[i] = [(_points(texts[i][:a]), k, _points(texts[i][:b])) for a, k, b in spans]
-    return found
-
-
-def _points(data: bytes) -> int:
-    return len(data.decode("utf-8", "surrogatepass"))
+        if len(body) >= least and formats.score(body.decode("ascii")) > cut:
+            a = int(a) + len(word) - len(word.lstrip(b".-="))
+            found.append((a, 3, a + len(body)))
+    points = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for a, kind, b in sorted(found):
+        i = int(np.searchsorted(begin, a, "right")) - 1
+        out[i].append((int(points[a] - points[begin[i]]), kind, int(points[b] - points[begin[i]])))
+    return out
 
 
 def _listing(spans, base: bool) -> str:
@@ -317,7 +320,7 @@ def _model(docs: DataFrame, labelled: DataFrame | None, max_labelled: int):
     return docs.sparkSession.sparkContext.broadcast(formats)
 
 
-def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, cut: float = 0.5, min_length: int = 20, max_labelled: int = 5_000) -> DataFrame:
+def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, cut: float = 0.5, min_length: int | None = None, max_labelled: int = 5_000) -> DataFrame:
     """doc_id and ``found`` (kind, start, end) for each row of ``docs``.
 
     ``labelled`` has value and kind; at most ``max_labelled`` of its distinct rows
@@ -334,7 +337,7 @@ def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, cut: float
     return map_batches(docs, fn, "doc_id long, found array<struct<kind:string,start:int,end:int>>")
 
 
-def mask_secrets(docs: DataFrame, labelled: DataFrame | None = None, mask: str = "[SECRET]", cut: float = 0.5, min_length: int = 20, max_labelled: int = 5_000) -> DataFrame:
+def mask_secrets(docs: DataFrame, labelled: DataFrame | None = None, mask: str = "[SECRET]", cut: float = 0.5, min_length: int | None = None, max_labelled: int = 5_000) -> DataFrame:
     """``docs`` with the spans of each text masked; ``n_chars``, where there is one, follows the new text."""
     model = _model(docs, labelled, max_labelled)
     names = docs.columns
