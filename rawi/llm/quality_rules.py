@@ -2,21 +2,24 @@
 
 Method.  Base rules on counts reject short and repetitive texts.  The others are
 described by four transformed statistics (word length, symbols, repeated lines,
-repeated three-word windows).  For each (language, source) the minimum covariance
-determinant estimate is sought by concentration steps over all its documents:
-from a median/MAD start and a classical start, the half of the documents
-((n + p + 1) / 2, and those in the distance bin of the last one) with the smallest
-Mahalanobis distances gives the next mean and covariance, until the determinant
-stops falling, and the start with the smaller determinant wins.  A document is
-rejected when its squared distance, with the covariance scaled for consistency
-and floored by ``FLOORS``, exceeds ``cut`` (the chi-square quantile with 4 degrees
-of freedom at 1 - 3e-7).
+repeated three-word windows).  For each (language, source), each language and all
+documents together the minimum covariance determinant estimate is sought by
+concentration steps over all documents: from a median/MAD start and a classical
+start, the half of the documents ((n + p + 1) / 2, and those in the distance bin
+of the last one) with the smallest Mahalanobis distances gives the next mean and
+covariance, until the determinant stops falling, and the start with the smaller
+determinant wins.  The covariance is scaled for consistency, and ``FLOORS``
+squared are added to its variances.  A language's estimate then takes in that of
+all documents with the weight of ``prior`` documents, and a (language, source)
+that of its language likewise, so that an estimate from few documents leans on
+the wider one and there is no size at which the rule changes.  A document is
+rejected when its squared distance in its (language, source) exceeds ``cut`` (the
+chi-square quantile with 4 degrees of freedom at 1 - 3e-7).
 
 Scale.  Every step is a scan of the small statistics table with partial sums per
 group and distance bin: the bins of a group are added up to the wanted share, so
-nothing is sorted and a group of any size meets in a few hundred rows.  Groups
-below ``min_group`` documents are estimated together with the small groups of
-their language, and if those are still too few, with all such documents.
+nothing is sorted and a group of any size meets in a few hundred rows.  Estimates
+are broadcast up to ``BROADCAST_GROUPS`` of them, counted first, else joined.
 
 Results on odd input.  Null and empty texts have zero counts and fail the base
 rules.  Null language or source is a value of its own.  Repeated rows count as
@@ -29,22 +32,24 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, written
+from .common import map_batches, size_of, table, union_all, written
 from .wordstream import BLANKS, text_bytes
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 STATS = ("f0", "f1", "f2", "f3")
-#: Smallest standard deviation of each statistic, in its transformed unit; the last is below a sixth of its range, ln 51.
+#: Standard deviations whose squares are added to the variances, in transformed units; the last is below a sixth of its range, ln 51.
 FLOORS = (0.05, 0.3, 0.5, 0.6)
 #: Chi-square quantile, 4 degrees of freedom, at 1 - 3e-7.
 CUT = 36.0
 _BINS_PER_OCTAVE = 16
 #: Least fall of a log determinant that counts.
 _FALL = 1e-6
+#: Groups whose estimates are sent to all executors, else joined by shuffle.
+BROADCAST_GROUPS = 100_000
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -97,23 +102,15 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
-    """``stats`` past the base rules with the key of the group each is judged in."""
-    good = stats.filter(~F.col("base_failed"))
-    fine = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    key = F.struct("lang", "source", F.lit(0).alias("level"))
-    small = F.col("n") < min_group
-    per_lang = fine.filter(small).groupBy("lang").agg(F.sum("n").alias("m")).withColumnRenamed("lang", "l")
-    fine = fine.join(per_lang, F.col("lang").eqNullSafe(F.col("l")), "left").select(
-        F.col("lang").alias("l"),
-        F.col("source").alias("s"),
-        F.when(~small, key)
-        .when(F.col("m") >= min_group, F.struct("lang", F.lit(None).cast("string").alias("source"), F.lit(1).alias("level")))
-        .otherwise(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(2).alias("level")))
-        .alias("key"),
-    )
-    group = F.xxhash64(F.to_json("key"))
-    return good.join(fine, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).withColumn("grp", group).drop("l", "s", "key")
+def _group(level: int) -> Column:
+    """Key of a document's group: 0 its language and source, 1 its language, 2 all documents."""
+    parts = ["lang", "source"][: 2 - level]
+    return F.xxhash64(F.lit(level), *[x for c in parts for x in (F.col(c).isNull(), F.coalesce(c, F.lit("")))])
+
+
+def _with_shapes(df: DataFrame, shapes: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    few = size_of(shapes, BROADCAST_GROUPS) <= BROADCAST_GROUPS
+    return df.join(F.broadcast(shapes) if few else shapes, on, how)
 
 
 def _sums():
@@ -121,13 +118,13 @@ def _sums():
 
 
 _NAMES = [f"s_{c}" for c in STATS] + [f"s_{a}_{b}" for i, a in enumerate(STATS) for b in STATS[i:]]
-_SHAPE = "grp long, start int, center array<double>, inverse array<double>, logdet double"
+_SHAPE = "grp long, start int, n long, center array<double>, cov array<double>, inverse array<double>, logdet double, falls boolean"
 
 
 def _shape(batch):
-    """Sums of a group -> center, inverse of the floored covariance and its log determinant."""
+    """Sums of a group -> center, covariance with ``FLOORS``, its inverse, its log determinant and whether that is below ``least``."""
     p, rows = len(STATS), batch.to_pylist()
-    center, inverse, logdet = [], [], []
+    center, covs, inverse, logdet = [], [], [], []
     for r in rows:
         n = max(r["n"], 1)
         mean = np.array([r[f"s_{c}"] for c in STATS]) / n
@@ -137,9 +134,10 @@ def _shape(batch):
                 cov[i, j] = cov[j, i] = r[f"s_{a}_{STATS[j]}"] / n - mean[i] * mean[j]
         cov = consistency(n / max(r["all"], n)) * cov + np.diag(np.square(FLOORS))
         center.append(mean.tolist())
+        covs.append(cov.ravel().tolist())
         inverse.append(np.linalg.inv(cov).ravel().tolist())
         logdet.append(float(np.linalg.slogdet(cov)[1]))
-    yield {"grp": batch.column("grp"), "start": batch.column("start"), "center": center, "inverse": inverse, "logdet": logdet}
+    yield {"grp": batch.column("grp"), "start": batch.column("start"), "n": batch.column("all"), "center": center, "cov": covs, "inverse": inverse, "logdet": logdet, "falls": [d < r["least"] - _FALL for d, r in zip(logdet, rows, strict=True)]}
 
 
 def _distance():
@@ -167,9 +165,12 @@ def _median_start(good: DataFrame) -> DataFrame:
     return rows.select(
         "grp",
         F.lit(0).alias("start"),
+        F.lit(0).cast("long").alias("n"),
         F.array(*[F.col(f"mid{i}") / 64.0 for i in range(p)]).alias("center"),
+        F.array(*[sd[i] * sd[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)]).alias("cov"),
         F.array(*[1 / (sd[i] * sd[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p)]).alias("inverse"),
-        F.lit(0.0).alias("logdet"),
+        F.lit(float("inf")).alias("logdet"),
+        F.lit(True).alias("falls"),
     )
 
 
@@ -187,37 +188,65 @@ def consistency(share: float, p: int = len(STATS)) -> float:
 
 
 def robust_shapes(good: DataFrame) -> DataFrame:
-    """Center and inverse covariance per ``grp`` of the minimum covariance determinant estimate."""
-    sums = good.groupBy("grp").agg(F.count("*").alias("n"), *_sums()).withColumn("start", F.lit(1)).withColumn("all", F.col("n"))
-    shapes = written(map_batches(sums, _shape, _SHAPE).unionByName(_median_start(good)))
+    """Number of rows, center, covariance and its inverse per ``grp`` of the minimum covariance determinant estimate."""
+    never = F.lit(float("inf")).alias("least")
+    sums = good.groupBy("grp").agg(F.count("*").alias("n"), *_sums()).withColumn("start", F.lit(1)).withColumn("all", F.col("n")).select("*", never)
+    shapes = written(map_batches(sums, _shape, _SHAPE).withColumn("logdet", F.lit(float("inf"))).unionByName(_median_start(good)))
+    few = size_of(shapes, BROADCAST_GROUPS) <= BROADCAST_GROUPS
     by = Window.partitionBy("grp", "start")
-    best = None
-    while best is None or not shapes.isEmpty():
+    steps = [shapes]
+    while True:
         d = F.greatest(_distance(), F.lit(1e-6))
-        placed = good.select("grp", *STATS).join(shapes, "grp").withColumn("bin", F.floor(F.log2(d) * _BINS_PER_OCTAVE).cast("int"))
-        bins = placed.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), *_sums())
+        placed = good.select("grp", *STATS).join(F.broadcast(shapes) if few else shapes, "grp").withColumn("bin", F.floor(F.log2(d) * _BINS_PER_OCTAVE).cast("int"))
+        bins = placed.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), F.first("logdet").alias("least"), *_sums())
         bins = bins.withColumn("before", F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(by))
         half = F.floor((F.col("all") + len(STATS) + 1) / 2)
         kept = bins.filter(F.col("before") < half).groupBy("grp", "start")
-        part = kept.agg(F.sum("n").alias("n"), F.first("all").alias("all"), *[F.sum(c).alias(c) for c in _NAMES])
-        new = written(map_batches(part, _shape, _SHAPE))
-        if best is None:
-            best = shapes = new
-            continue
+        part = kept.agg(F.sum("n").alias("n"), F.first("all").alias("all"), F.first("least").alias("least"), *[F.sum(c).alias(c) for c in _NAMES])
         # only groups whose determinant still falls take another step
-        held = best.select("grp", "start", F.col("logdet").alias("least"))
-        shapes = written(new.join(held, ["grp", "start"]).filter(F.col("logdet") < F.col("least") - _FALL).drop("least"))
-        best = written(best.join(shapes.select("grp", "start"), ["grp", "start"], "left_anti").unionByName(shapes))
+        shapes = written(map_batches(part, _shape, _SHAPE)).filter("falls")
+        if shapes.isEmpty():
+            break
+        steps.append(shapes)
     place = F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))
-    return best.withColumn("place", place).filter("place = 1").select("grp", "center", "inverse")
+    return union_all(steps).withColumn("place", place).filter("place = 1").select("grp", "n", "center", "cov", "inverse")
+
+
+def _leaning(prior: float):
+    """Shapes of the three levels of a (language, source) in a row -> the center and inverse it is judged by."""
 
+    def fn(batch):
+        p = len(STATS)
+        center, inverse = [], []
+        for r in batch.to_pylist():
+            mean, cov = np.array(r["center2"]), np.array(r["cov2"]).reshape(p, p)
+            for level in (1, 0):
+                own = r[f"n{level}"] / (r[f"n{level}"] + prior)
+                mean = own * np.array(r[f"center{level}"]) + (1 - own) * mean
+                cov = own * np.array(r[f"cov{level}"]).reshape(p, p) + (1 - own) * cov
+            center.append(mean.tolist())
+            inverse.append(np.linalg.inv(cov).ravel().tolist())
+        yield {"g0": batch.column("g0"), "center": center, "inverse": inverse}
 
-def judge_quality(docs: DataFrame, cut: float = CUT, min_group: int = 40) -> DataFrame:
+    return fn
+
+
+def judged_shapes(good: DataFrame, prior: float) -> DataFrame:
+    """g0 (a language and source), center and inverse covariance; ``good`` has g0, g1, g2 and the statistics."""
+    levels = good.select(F.explode(F.array("g0", "g1", "g2")).alias("grp"), *STATS)
+    shapes = written(robust_shapes(levels).drop("inverse"))
+    rows = good.select("g0", "g1", "g2").distinct()
+    for i in range(3):
+        rows = _with_shapes(rows, shapes.withColumnsRenamed({"grp": f"g{i}", "n": f"n{i}", "center": f"center{i}", "cov": f"cov{i}"}), [f"g{i}"])
+    return written(map_batches(rows, _leaning(prior), "g0 long, center array<double>, inverse array<double>"))
+
+
+def judge_quality(docs: DataFrame, cut: float = CUT, prior: float = 20.0) -> DataFrame:
     """Counts, base verdict, squared robust distance (null where the base rules fail) and ``kept`` per document."""
-    stats = written(statistics(docs))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    good = written(_grouped(stats, min_group).select(*counts, *STATS, "grp"))
-    judged = good.join(robust_shapes(good), "grp").withColumn("distance", _distance()).select(*counts, "distance", (F.col("distance") <= cut).alias("kept"))
+    stats = written(statistics(docs).select(*counts, *STATS, *[_group(i).alias(f"g{i}") for i in range(3)]))
+    good = stats.filter(~F.col("base_failed"))
+    judged = _with_shapes(good, judged_shapes(good, prior), ["g0"]).withColumn("distance", _distance()).select(*counts, "distance", (F.col("distance") <= cut).alias("kept"))
     failed = stats.filter("base_failed").select(*counts, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return judged.unionByName(failed)
 
