@@ -4,8 +4,9 @@ Method.  From labelled texts, words and the 1- to 4-character sequences of words
 (with marks for their ends) are counted per language.  A known word scores its
 log frequency in each language.  A word outside the table scores, at each of its
 positions, the longest known sequence that starts there (4 characters, else 3, 2,
-1), averaged over the positions.  A text's scores are the sums over its words and
-its language is the largest; ``score`` is that language's share after softmax.
+1), averaged over the positions.  A text's scores are the means over its words and
+its language is the largest; ``score`` is that language's share after softmax, so
+it does not grow with the length of a text.
 
 Scale.  All labelled rows are counted, tasks send sums, and every count stays in a
 written table.  Each task holds the ``max_words`` most frequent words and
@@ -13,12 +14,12 @@ written table.  Each task holds the ``max_words`` most frequent words and
 most that many) and scores them at once.  A text's other words are joined to the
 written counts, and those outside them by the sequences that the task did not
 hold; keys with many rows are dealt over several partitions.  So what is held has
-a fixed bound and the result does not depend on it.
+a fixed bound, fewer keys where there are many languages, and the result does not
+depend on it.
 
 Results on odd input.  A text that is null or has no letter is ``und`` with score
-0, and so is every text when nothing is labelled.  Null languages are not learned
-and more than 1,000 languages are refused.  Ties go to the first language by
-name.  Null ids are looked up as the empty text when folds are formed.  Repeated
+0, and so is every text when nothing is labelled.  Null languages are not learned;
+any number of languages is.  Ties go to the first language by name.  Null ids are looked up as the empty text when folds are formed.  Repeated
 rows get equal results.  Extra columns are ignored by ``identify`` and kept by
 ``in_known_language``.
 """
@@ -36,6 +37,8 @@ from .common import map_batches, size_of, slices, table, written
 from .wordstream import LETTERS, Shelf, Words, mix, window_hashes
 
 LONGEST = 4
+#: Numbers that the table of a kind may hold in a task: keys times languages.
+HELD = 8_000_000
 
 
 def crc(column: Column) -> Column:
@@ -90,7 +93,7 @@ def _counting(batches):
         return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(v)) for c, v in cols.items()})
 
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text", 2 << 20):
             words = Words(_lower(part.column("text").to_pylist()), LETTERS)
             of = part.column("code").to_numpy(zero_copy_only=False)[words.text_of]
             for lang in np.unique(of):
@@ -104,9 +107,9 @@ def _counting(batches):
                 for kind, (key, n) in enumerate(parts):
                     held.setdefault((int(lang), kind), []).append((key, n))
                     size += len(key)
-            if size > 2_000_000:
+            if size > 1_500_000:
                 size = merge()
-                if size > 1_200_000:
+                if size > 900_000:
                     yield rows()
                     held.clear()
                     size = 0
@@ -192,13 +195,12 @@ class Learned:
 def learn(docs: DataFrame, max_words: int = 100_000, max_grams: int = 50_000) -> Learned:
     """Counts of the rows of ``docs`` that have a language; tasks hold at most ``max_words`` and ``max_grams`` of them."""
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    langs = sorted(r.lang for r in docs.select("lang").distinct().limit(1001).collect())
-    if len(langs) > 1000:
-        raise ValueError("more than 1,000 languages")
+    langs = sorted(r.lang for r in docs.select("lang").distinct().collect())
     if not langs:
         return Learned(Tables([], [], {}, {}), None)
-    code = (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int")
-    counts = docs.select("text", code.alias("code")).mapInArrow(_counting, "lang int, kind int, key long, n long")
+    max_words, max_grams = min(max_words, HELD // len(langs)), min(max_grams, HELD // 2 // len(langs))
+    names = docs.sparkSession.createDataFrame(list(enumerate(langs)), "code int, lang string")
+    counts = docs.join(F.broadcast(names), "lang").select("text", "code").mapInArrow(_counting, "lang int, kind int, key long, n long")
     counts = written(counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")))
     totals = {(r.kind, r.lang): r.n for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     # the step of log frequency from which the keys of a kind are held
@@ -324,6 +326,7 @@ def _told(rows: DataFrame, learned: Learned, shared, keep: list[str]) -> DataFra
                     total[i, x["slot"]] += x["value"]
                 else:
                     total[i] += x["value"] * tables.base[-1 - x["slot"]]
+        total /= np.maximum(batch.column("_words").to_numpy(zero_copy_only=False), 1)[:, None]
         best = total.argmax(axis=1)
         share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
         ok = batch.column("_ok").to_pylist()
@@ -341,7 +344,8 @@ def _rows(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            most = max((1 << 20) // max(len(shared.value.langs), 1), 1)
+            for part in (some.slice(i, most) for some in slices(batch, "text") for i in range(0, some.num_rows, most)):
                 names = [*keep, "_row", "_ok", "_words", "_rises", "_rest"]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names[:-4]] + _looked(part, shared.value), names=names)
 
@@ -356,13 +360,19 @@ def identify(docs: DataFrame, learned: Learned) -> DataFrame:
     return _told(_rows(docs, shared, ["doc_id"]), learned, shared, ["doc_id"])
 
 
-def in_known_language(docs: DataFrame, learned: Learned, least: float = 0.5, small: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a score of ``least`` or more."""
+def in_known_language(docs: DataFrame, learned: Learned, least: float = 0.4, small: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score of ``least`` or more.
+
+    The verdict follows from the text alone, so the texts that go are named by two
+    64-bit hashes and the rows are not written again.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(learned.tables)
-    rows = _rows(docs, shared, docs.columns)
-    out = written(_told(rows, learned, shared, ["_row"]).filter((F.col("lang_pred") == "und") | ~(F.col("score") >= least)).select("_row"))
-    out = F.broadcast(out) if size_of(out, small) <= small else out
-    return rows.select("_row", *docs.columns).join(out, "_row", "left_anti").select(*docs.columns)
+    text = F.col("text").cast("string")
+    named = [F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text, F.length(text)).alias("_g")]
+    rows = _rows(docs.select(*named, text.alias("text")), shared, ["_h", "_g"])
+    gone = written(_told(rows, learned, shared, ["_h", "_g"]).filter((F.col("lang_pred") == "und") | ~(F.col("score") >= least)).select("_h", "_g").distinct())
+    gone = F.broadcast(gone) if size_of(gone, small) <= small else gone
+    return docs.select(*docs.columns, *named).join(gone, ["_h", "_g"], "left_anti").select(*docs.columns)
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
