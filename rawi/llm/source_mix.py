@@ -26,10 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, words_of, written
+from .common import size_of, table, words_of, written
 
 #: Key ranges of a source that are summed apart.
 RANGES = 4096
+#: Rows of the mix that are sent to all executors, else joined by shuffle.
+BROADCAST_TAKES = 500_000
 #: Quality weights of the label values.
 QUALITY = {1: 2.0, 0: 0.5}
 
@@ -107,7 +109,8 @@ def label_weights(labels: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
     """The rows that the mix takes, once each, with ``copies`` and ``taken``; null and repeated ids are rows of their own."""
     docs = written(docs.drop("copies", "taken").withColumn("_row", F.monotonically_increasing_id()))
-    takes = mix_sources(docs, quality, row="_row", **options).filter("copies > 0").select("_row", "copies", "taken")
+    takes = written(mix_sources(docs, quality, row="_row", **options).filter("copies > 0").select("_row", "copies", "taken"))
+    takes = F.broadcast(takes) if size_of(takes, BROADCAST_TAKES) <= BROADCAST_TAKES else takes
     return docs.join(takes, "_row").drop("_row")
 
 
