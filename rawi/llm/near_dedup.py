@@ -13,10 +13,11 @@ agree on all rows of a band are candidates, and candidates are linked when the
 exact overlap of their multisets reaches ``similarity``.  At 0.8 with 30 bands of
 5 rows a pair is overlooked with a probability of 7e-6.
 
-Large groups.  Equal texts are one text with one id.  In a band bucket, every
+Large groups.  Equal texts are one text with one 128-bit id.  In a band bucket, every
 text is first compared with the bucket's smallest; the links found give
 components.  Only in buckets that still hold several components are the others
-compared, by their signatures in blocks of ``BLOCK`` texts, and pairs of
+compared, by their signatures in blocks of ``BLOCK`` texts and about ``BLOCK_BYTES``
+bytes (a longer text is alone in its block), and pairs of
 different components whose signatures agree on ``LIKELY`` of the components are
 verified in place, in the first band they share.  A task gives out one link for
 each two components it joins; pairs inside a component cannot change it and are
@@ -35,6 +36,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import map_batches, size_of, slices, table, written
 from .components import components
@@ -44,6 +46,8 @@ _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 #: Texts of one bucket whose signatures are compared in one task.
 BLOCK = 1000
+#: Text bytes of one bucket that are compared in one task.
+BLOCK_BYTES = 32 << 20
 #: Share of equal components from which a pair is verified; 4.6 standard errors below 0.8 at 150 components.
 LIKELY = 0.65
 #: Candidate ids are sent to all executors up to this many, else joined by shuffle.
@@ -119,9 +123,9 @@ def similarity_of(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
     return both / union if union else 0.0
 
 
-def text_id(text: bytes) -> int:
-    """64-bit id of a word sequence."""
-    return int.from_bytes(hashlib.blake2b(b" ".join(text.split()), digest_size=8).digest(), "little", signed=True)
+def text_id(text: bytes) -> bytes:
+    """128-bit id of a word sequence."""
+    return hashlib.blake2b(b" ".join(text.split()), digest_size=16).digest()
 
 
 def _signed(shingle: int, bands: int, rows: int):
@@ -139,6 +143,7 @@ def _signed(shingle: int, bands: int, rows: int):
             yield {
                 "doc_id": part.column("doc_id"),
                 "tid": [text_id(t) for t in texts],
+                "size": [len(t) for t in texts],
                 "keys": [k if f else [] for k, f in zip(key.view(np.int64), filled, strict=True)],
                 "bands": [k.tobytes() for k in key],
                 "sig": [s.tobytes() for s in (sig & _U(0xFF)).astype(np.uint8)],
@@ -166,7 +171,7 @@ def _verified(shingle: int, similarity: float):
                 elif similarity_of(own, bag(text)) >= similarity:
                     a.append(lead)
                     b.append(tid)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
@@ -183,7 +188,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     heads = spread.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("leader").alias("tid"))
     rows = members.unionByName(heads).join(texts, "tid").select("leader", "salt", "tid", "text", (F.col("leader") != F.col("tid")).alias("other"))
     rows = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "other")
-    return written(rows.select("leader", "tid", "text").mapInArrow(_verified(shingle, similarity), "a long, b long"))
+    return written(rows.select("leader", "tid", "text").mapInArrow(_verified(shingle, similarity), "a binary, b binary"))
 
 
 def _boxes(batches, names: tuple[str, ...]):
@@ -238,9 +243,9 @@ def _screen(batches):
             box += [rows[0][0]] * len(found)
             tid += [rows[x][3] for x in found]
         if rows is None or len(box) > 10_000:
-            yield pa.RecordBatch.from_pydict({"box": pa.array(box, pa.int64()), "tid": pa.array(tid, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"box": pa.array(box, pa.int64()), "tid": pa.array(tid, pa.binary())})
             box, tid = [], []
-    yield pa.RecordBatch.from_pydict({"box": pa.array(box, pa.int64()), "tid": pa.array(tid, pa.int64())})
+    yield pa.RecordBatch.from_pydict({"box": pa.array(box, pa.int64()), "tid": pa.array(tid, pa.binary())})
 
 
 def _joined_up(shingle: int, similarity: float):
@@ -267,7 +272,7 @@ def _joined_up(shingle: int, similarity: float):
                             top[x] = y
                             a.append(rows[i][3])
                             b.append(rows[j][3])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
@@ -279,56 +284,85 @@ def _remaining(members: DataFrame, labels: DataFrame, texts: DataFrame, found: D
     signatures travel and say who has a likely partner, then their texts.
     """
     others = members.filter("tid <> leader").join(labels.withColumnRenamed("v", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
-    mixed = others.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = others.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("size").alias("bytes"))
+    mixed = mixed.filter("low < high").select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     rows = others.join(written(mixed), "key").withColumn("half", F.pmod(F.xxhash64("tid"), "blocks").cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = written(rows.select(F.xxhash64("key", F.least("half", "with"), F.greatest("half", "with")).alias("box"), "band", "half", "tid", "label"))
     signed = rows.join(texts.select("tid", "sig", "bands"), "tid").select(*_ROW)
-    busy = written(signed.repartition("box").sortWithinPartitions("box").mapInArrow(_screen, "box long, tid long"))
+    busy = written(signed.repartition("box").sortWithinPartitions("box").mapInArrow(_screen, "box long, tid binary"))
     full = rows.join(busy, ["box", "tid"]).join(texts.select("tid", "sig", "bands"), "tid").join(found, "tid").select(*_ROW, "text")
-    return written(full.repartition("box").sortWithinPartitions("box").mapInArrow(_joined_up(shingle, similarity), "a long, b long"))
+    return written(full.repartition("box").sortWithinPartitions("box").mapInArrow(_joined_up(shingle, similarity), "a binary, b binary"))
 
 
-def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 5) -> DataFrame:
-    """doc_id, class_id (the smallest id of its class of near duplicates) for each row of ``docs``."""
+def _sent(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if size_of(ids, BROADCAST_IDS) <= BROADCAST_IDS else ids
+
+
+def _classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 5) -> DataFrame:
+    """doc_id, tid (its text), label (its class) and class_id (the smallest id of the class) for each row with an id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(map_batches(docs.filter("doc_id is not null"), _signed(shingle, bands, rows), "doc_id long, tid long, keys array<long>, bands binary, sig binary"))
+    signed = written(map_batches(docs.filter("doc_id is not null"), _signed(shingle, bands, rows), "doc_id long, tid binary, size long, keys array<long>, bands binary, sig binary"))
     filled = signed.filter(F.size("keys") > 0)
-    texts = written(filled.groupBy("tid").agg(F.min(F.struct("doc_id", "keys", "bands", "sig")).alias("v")).select("tid", F.col("v.doc_id").alias("low"), "v.keys", "v.bands", "v.sig"))
-    placed = texts.select(F.posexplode("keys").alias("band", "key"), "tid")
+    texts = written(filled.groupBy("tid").agg(F.min(F.struct("doc_id", "size", "keys", "bands", "sig")).alias("v")).select("tid", F.col("v.doc_id").alias("low"), "v.size", "v.keys", "v.bands", "v.sig"))
+    placed = texts.select(F.posexplode("keys").alias("band", "key"), "tid", "size")
     buckets = written(placed.groupBy("key").agg(F.min("tid").alias("leader"), F.max("tid").alias("high")).filter("leader < high").select("key", "leader"))
     members = written(placed.join(buckets, "key"))
     pairs = written(members.filter("tid <> leader").select("leader", "tid").distinct())
     # texts of the candidates, found by the id that stands for each
     wanted = members.select("tid").distinct().join(texts.select("tid", "low"), "tid")
     ids = wanted.select(F.col("low").alias("doc_id"))
-    found = docs.join(F.broadcast(ids) if size_of(ids, BROADCAST_IDS) <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    found = docs.join(_sent(ids), "doc_id", "left_semi")
     found = written(
         map_batches(
             found,
             lambda batch: iter([{"tid": [text_id(t) for t in text_bytes(batch.column("text").to_pylist())], "text": batch.column("text")}]),
-            "tid long, text string",
+            "tid binary, text string",
         ).dropDuplicates(["tid"])
     )
     links = _verify(pairs, found, shingle, similarity)
     links = links.unionByName(_remaining(members, components(links), texts, found, shingle, similarity))
     labels = components(links)
     named = labels.withColumnRenamed("v", "tid").join(texts.select("tid", "low"), "tid")
-    classes = named.groupBy("label").agg(F.min("low").alias("class_id")).join(labels, "label").select(F.col("v").alias("tid"), "class_id")
-    alone = texts.select("tid", "low").join(classes, "tid", "left").select("tid", F.coalesce("class_id", "low").alias("class_id"))
-    out = filled.select("doc_id", "tid").join(alone, "tid").select("doc_id", "class_id")
-    blank = signed.filter(F.size("keys") == 0).select("doc_id", F.col("doc_id").alias("class_id"))
-    unnamed = docs.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    return out.unionByName(blank).unionByName(unnamed)
+    classes = named.groupBy("label").agg(F.min("low").alias("class_id")).join(labels, "label").select(F.col("v").alias("tid"), "label", "class_id")
+    alone = texts.select("tid", "low").join(classes, "tid", "left").select("tid", F.coalesce("label", "tid").alias("label"), F.coalesce("class_id", "low").alias("class_id"))
+    # both sides are read from files, so that a text of very many rows can be split over tasks
+    out = filled.select("doc_id", "tid").join(written(alone), "tid").select("doc_id", "tid", "label", "class_id")
+    return out.unionByName(signed.filter(F.size("keys") == 0).select("doc_id", "tid", F.col("tid").alias("label"), F.col("doc_id").alias("class_id")))
+
+
+def near_classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (the smallest id of its class of near duplicates) for each row of ``docs``."""
+    unnamed = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
+    return _classes(docs, **options).select("doc_id", "class_id").unionByName(unnamed)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` but those whose id is not the smallest of its class.
+    """One row of each class: of its smallest id, and of rows that share this id any one.
 
-    Rows of one id are one document and stay together; rows without an id stay.
+    Rows of one id may be of different classes; rows without an id all stay.
     """
-    gone = written(near_classes(docs, **options).filter("doc_id <> class_id").select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if size_of(gone, BROADCAST_IDS) <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    found = written(_classes(docs, **options))
+    gone = written(found.filter("doc_id <> class_id").select("doc_id").distinct())
+    many = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    once = docs.join(_sent(gone), "doc_id", "left_anti")
+    if many.isEmpty():
+        return once
+    once = once.join(_sent(many), "doc_id", "left_anti")
+    shared = docs.join(_sent(many), "doc_id", "left_semi")
+
+    def named(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                tids = pa.array([text_id(t) for t in text_bytes(part.column("text").to_pylist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, tids], names=[*part.schema.names, "_tid"])
+
+    shared = shared.mapInArrow(named, StructType([*docs.schema.fields, StructField("_tid", BinaryType())]))
+    kept = found.filter("doc_id = class_id").join(many, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"), F.col("label").alias("_label")).distinct()
+    shared = shared.join(kept, (shared["doc_id"] == kept["_id"]) & (shared["_tid"] == kept["_tid"])).drop("_tid").dropDuplicates(["doc_id", "_label"])
+    return once.unionByName(shared.select(*docs.columns))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
