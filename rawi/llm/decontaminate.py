@@ -35,7 +35,7 @@ from .common import map_batches, slices, table, written
 from .wordstream import ALNUM, Shelf, Words, text_bytes, window_hashes
 
 #: Benchmark characters held by a task at a time.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def _lower(values) -> list[bytes]:
