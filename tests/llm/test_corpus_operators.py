@@ -107,6 +107,26 @@ def test_near_dedup_keeps_one(spark):
     assert near_dedup.near_classes(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b, c, u = (text(rng, words=60) for _ in range(4))
+    rows = [(1, a), (1, a), (1, b), (2, b), (0, c), (2, c), (2, u), (3, a + " more"), (None, a), (None, a), (4, " "), (4, " "), (5, "\n")]
+    kept = near_dedup.one_of_each(frame(spark, [(i, t, "en", "s", 0) for i, t in rows], clashing=True))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (1, b), (0, c), (2, u), (None, a), (None, a), (4, " "), (5, "\n")])
+
+
+def test_near_dedup_boxes_bounded_by_bytes(spark, monkeypatch):
+    rows, rng = [], random.Random(4)
+    base = text(rng, words=120).split()
+    for k in range(40):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w), "en", "s", 0))
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 3000)
+    assert Counter((r.doc_id, r.class_id) for r in near_dedup.near_classes(frame(spark, rows)).collect()) == brute_classes(rows)
+
+
 def test_bag_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 300).astype(np.uint64)
