@@ -183,8 +183,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     of the leader's text, which its task reads once.
     """
     pairs = written(pairs)
-    spread = pairs.groupBy("leader").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"))
-    members = pairs.join(spread, "leader").select("leader", F.pmod(F.xxhash64("tid"), "salts").cast("int").alias("salt"), "tid")
+    spread = written(pairs.groupBy("leader").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts")))
+    hot = _sent(spread.filter("salts > 1"))  # at most a row for 500 pairs
+    members = pairs.join(hot, "leader", "left").select("leader", F.pmod(F.xxhash64("tid"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "tid")
     heads = spread.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("leader").alias("tid"))
     rows = members.unionByName(heads).join(texts, "tid").select("leader", "salt", "tid", "text", (F.col("leader") != F.col("tid")).alias("other"))
     rows = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "other")
