@@ -1,9 +1,10 @@
 """Scansion, rhyme letter and diacritic checks, as Arrow UDFs.
 
-These read a line from left to right and depend on what they have put out so
-far, which column expressions cannot say.  Each distinct line of an Arrow batch
-is worked out once.  A line that cannot be read gives an ``error``, not a failed
-job.
+A line is cut into units, a letter with what marks it, by one regular expression;
+what a unit adds to the beat and to the spelling stands in a table, by the kind of
+its mark and by whether the beat rests so far.  Each distinct line of an Arrow
+batch is worked out once.  A line that cannot be read gives an ``error``, not a
+failed job.
 """
 
 from __future__ import annotations
@@ -19,59 +20,85 @@ SHORT, SUKUN, SHADDA, TANWEEN = "َُِ", "ْ", "ّ", "ًٌٍ"
 MARKS = SHORT + SUKUN + SHADDA + TANWEEN
 ACCEPTED = set(MARKS + "اوىيإةبتثجحخدذرزسشصضطظعغفقكلمنهأءئؤ #ـ")
 
-
-def pattern_of(line: str) -> str:
-    """0/1 pattern of a marked line: 1 moving, 0 still."""
-    line = re.sub(f"[{SHORT}](?=[{SHORT}])", "", line).replace("آ", "ءَا")
-    ch = re.sub(" +", " ", "".join(c for c in line.strip() if c in ACCEPTED))
-    out: list[str] = []
-    last, i, ahead = len(ch) - 1, 0, ""
-    still = lambda: bool(out) and out[-1] == "0"
-    for _ in range(2 * len(ch) + 1):
-        if i >= last:
+#: A letter; behind it a doubling and its vowel, another mark, or a blank and a mark; then a blank.  Else a mark that stands alone.
+_UNIT = re.compile(f"([^{MARKS} ])(?:({SHADDA})([{SHORT}{TANWEEN}]?)|([{SHORT}{SUKUN}{TANWEEN}])| ([{MARKS}]))?( ?)|.")
+_DOUBLE_SHORT, _OTHER, _BLANKS = re.compile(f"[{SHORT}](?=[{SHORT}])"), re.compile(f"[^{''.join(sorted(ACCEPTED))}]+"), re.compile("  +")
+_KIND = {**dict.fromkeys(SHORT, "short"), SUKUN: "rest", **dict.fromkeys(TANWEEN, "nasal"), SHADDA: "double"}
+#: Kind of a unit -> (beats, letters, does it swallow the letter before it) while the beat moves, and while it rests.
+_ADDS = {
+    "short": (("1", 1, False), ("1", 1, False)),
+    "rest": (("0", 1, False), ("", 1, True)),
+    "nasal": (("10", 1, False), ("10", 1, False)),
+    "double": (("01", 2, False), ("1", 2, True)),
+    "bare": (("0", 1, False), ("", 1, True)),
+    "open": (("0", 1, False), ("1", 1, False)),
+}
+#: The long vowel that a vowel at the end of a line, or behind a closing ه, is read as.
+_LENGTHENED = {"ِ": "ي", "َ": "ا", "ُ": "و"}
+_NASAL_END = {"ٍ": "ي", "ٌ": "و"}
+
+
+def scanned(line: str) -> tuple[str, str]:
+    """(spelling as it is read, 0/1 pattern) of a marked line: 1 moving, 0 still.
+
+    A mark that follows neither a letter nor a doubling ends the reading.
+    """
+    text = _OTHER.sub("", _DOUBLE_SHORT.sub("", line).replace("آ", "ءَا").strip())
+    text = _BLANKS.sub(" ", text)
+    units = _UNIT.findall(text)
+    if units and units[-1][0] and not any(units[-1][1:]):
+        units.pop()  # a bare letter at the end is not read
+        end = -1
+    else:
+        end = len(units) - 1
+    beat, said, rests, opened, held = [], [], False, False, False
+    for i, (letter, doubled, vowel, mark, far, blank) in enumerate(units):
+        if not letter:
             break
-        c = ch[i]
-        if c in MARKS:
-            continue  # a mark on its own: nothing moves until the rounds run out
-        if c == " ":
-            i += 1
-            continue
-        mark = ch[i + 1] if ch[i + 1] != " " else (ch[i + 2] if i + 2 <= last else "")
-        ahead = ch[i + 2] if i < last - 1 else ahead
-        if c == "#":
-            if i and ch[i - 1] != "ـ" and out and not still():
-                out.append("0")
-            i += 1
-            continue
-        if mark and mark in SHORT:
-            out.append("1")
-        elif mark == SUKUN:
-            if not still():
-                out.append("0")
-            elif i + 1 >= last:
-                out[-1:] = ["1", "0"]
-        elif mark and mark in TANWEEN:
-            out += ["1", "0"]
-        elif mark == SHADDA:
-            out += ["1"] if still() else ["0", "1"]
-            after = ch[i + 2] if i + 2 <= last else ""
-            if after and after in SHORT:
-                i += 1
-            elif after and after in TANWEEN:
-                i += 1
-                out.append("0")
+        mark = doubled or mark or far
+        if not mark and letter == "#":
+            if beat and not rests and not held:
+                beat.append("0")
+                rests = True
         else:
-            if not still():
-                out.append("0")
-            elif ch[i + 1] == " ":
-                out.append("1")
-            i -= 1
-        if ahead == " " and c == "ه" and mark in ("ِ", "ُ"):
-            out.append("0")
-        i += 2
-    if not still():
-        out.append("0")
-    return "".join(out)
+            kind = _KIND[mark] if mark else "open" if blank else "bare"
+            digits, times, swallows = _ADDS[kind][rests]
+            if i == end and rests and kind == "rest" and not far:
+                beat[-1], digits, swallows = beat[-1][:-1] + "1", "0", False
+            if swallows:
+                del said[-2 if said[-1:] == [" "] else -1 :]
+            if kind != "nasal" or letter != "ا":
+                said += letter * times
+            if kind == "nasal" or vowel and vowel in TANWEEN:
+                said.append("ن")
+                digits += "0" if kind == "double" else ""
+            if digits:
+                beat.append(digits)
+                rests = digits[-1] == "0"
+            if letter == "ه" and not doubled and mark in _LENGTHENED and mark != "َ" and (blank or (i == end and opened)):
+                said.append(_LENGTHENED[mark])
+                beat.append("0")
+                rests = True
+        if far:
+            break
+        opened, held = bool(blank and mark and not vowel), letter == "ـ" and not blank and not mark
+        if blank:
+            said.append(" ")
+    if not rests:
+        beat.append("0")
+    last = text[-1:]
+    if last in _NASAL_END:
+        said = [*said[:-1], _NASAL_END[last]]
+    elif last in _LENGTHENED:
+        said.append(_LENGTHENED[last])
+    elif last and last in "ىاوي" and text[-2:-1] not in TANWEEN:
+        said.append(last)
+    return "".join(said).replace("ةن", "تن"), "".join(beat)
+
+
+def pattern_of(line: str) -> str:
+    """0/1 pattern of a marked line."""
+    return scanned(line)[1]
 
 
 #: Spellings that are read otherwise, in order; the first entry of the second list also holds at the end of a line.
@@ -88,6 +115,9 @@ READ_WORDS = {
 }
 
 
+_MARK, _ANY_READ = re.compile("[ً-ْ]"), re.compile("|".join(READ_WORDS))
+
+
 def prepared(line: str) -> str:
     """The line spelled as it is read: a leading alif, silent alifs, the article and words with unwritten vowels."""
     line = line.strip()
@@ -96,12 +126,13 @@ def prepared(line: str) -> str:
     line = re.sub("وا(?= |$)", "و", line)
     for written, read in READ_AS:
         line = line.replace(written, read)
-    said = []
-    for word in line.split(" "):
-        bare = re.sub("[ً-ْ]", "", word)
-        key = next((k for k in READ_WORDS if k in bare), None)
-        said.append(bare.replace(key, READ_WORDS[key]) if key else word)
-    line = " ".join(said)
+    if _ANY_READ.search(_MARK.sub("", line)):
+        said = []
+        for word in line.split(" "):
+            bare = _MARK.sub("", word)
+            key = next((k for k in READ_WORDS if k in bare), None)
+            said.append(bare.replace(key, READ_WORDS[key]) if key else word)
+        line = " ".join(said)
     if len(line) > 1 and line[1] in ACCEPTED and line[1] not in MARKS:
         line = line[0] + "َ" + line[1:]
     return re.sub(f"([{TANWEEN}])ا[{MARKS}]?", r"\1", line)
@@ -174,20 +205,20 @@ def _struct(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-@F.pandas_udf(_struct("pattern", "error"))
+@F.pandas_udf(_struct("spelling", "pattern", "error"))
 def scan(lines: pd.Series) -> pd.DataFrame:
-    """Pattern of each line; an empty line has an empty pattern."""
+    """Spelling and pattern of each line, both empty for an empty line; null with an ``error`` for a line that cannot be read."""
 
     def one(x):
         if x is None or not x.strip():
-            return ("", None)
+            return ("", "", None)
         try:
-            return (pattern_of(prepared(x)), None)
+            return (*scanned(prepared(x)), None)
         except (IndexError, ValueError) as e:
-            return (None, str(e))
+            return (None, None, str(e))
 
     got = _each(lines, one)
-    return pd.DataFrame({"pattern": [p for p, _ in got], "error": [e for _, e in got]})
+    return pd.DataFrame({name: [g[i] for g in got] for i, name in enumerate(("spelling", "pattern", "error"))})
 
 
 @F.pandas_udf(_struct("letter", "parts", "error"))

@@ -101,6 +101,19 @@ def test_rhyme_steps(spark):
     assert {r.poem_idx: r.letter for r in R.majority_letter(lines).collect()} == {1: "ق", 2: ""}
 
 
+#: Line, spelling and pattern, by hand from the reading rules.
+READ = (
+    ("بَ", "با", "10"), ("بَلْ", "بل", "10"), ("قَمَرٌ", "قمرو", "1110"), ("كِتَابٌ", "كتابو", "11010"), ("قَلْبِي", "قلبي", "1010"), ("وَمَنْزِلِ", "ومنزلي", "110110"),
+    ("فِي الْبَيْتِ", "فلبيتي", "101010"), ("لَهُ مَالٌ", "لهو مالو", "1101010"), ("بِهِ", "بهي", "110"), ("شَمْسْ", "شمس", "110"), ("مَدَّ", "مد", "110"), ("رَبُّ", "رب", "110"), ("مَدّ", "مدد", "1010"),
+    ("رَبّاً كَ", "رببن كا", "1011010"), ("آمَنَ", "ءامنا", "10110"), ("عِلْمًا", "علمن", "1010"), ("مَا#لِي", "مالي", "1010"), ("بَ ُ", "ب و", "10"), ("كَلِمَةٌ لَ", "كلمتن لا", "1111010"), ("بَُ", "بو", "10"), ("123", "", "0"), ("", "", "0"),
+)
+
+
+@pytest.mark.parametrize("line,spelling,pattern", READ)
+def test_lines_read_by_hand(line, spelling, pattern):
+    assert S.scanned(line) == (spelling, pattern)
+
+
 def test_scansion(spark):
     assert S.pattern_of("بَ") == "10" and S.pattern_of("بَلْ") == "10"
     assert S.pattern_of("قَمَرٌ") == "1110"
