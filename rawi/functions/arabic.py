@@ -32,7 +32,7 @@ LETTER_NAMES = {
 }
 
 #: Letters that rhyme as another letter.
-SAME_RHYME = {"أ": "ء", "إ": "ء", "ؤ": "ء", "ئ": "ء", "آ": "ا", "ى": "ا", "ٱ": "ا", "ة": "ه", "ک": "ك", "ی": "ي", "ہ": "ه", "ھ": "ه"}
+SAME_RHYME = {"أ": "ء", "إ": "ء", "ؤ": "ء", "ئ": "ء", "آ": "ء", "ى": "ا", "ٱ": "ا", "ة": "ه", "ک": "ك", "ی": "ي", "ہ": "ه", "ھ": "ه"}
 
 #: Prefixes of longer words and what stays of them, first match wins.
 PREFIXES = (("وبال", "ال"), ("كال", "ال"), ("وال", "ال"), ("فال", "ال"), ("بال", "ال"), ("ولل", "ال"), ("لل", "ال"), ("وا", "ا"), ("فا", "ا"))
@@ -124,8 +124,12 @@ def last_consonant(word: Column) -> Column:
 
 def uniform_rhyme(ends: Column) -> Column:
     """The last consonant that all words share, else null."""
-    tails = F.transform(ends, last_consonant)
-    return F.when((F.size(F.array_distinct(tails)) == 1) & (F.size(ends) > 0), F.get(tails, F.lit(0)))
+    return shared_tail(F.transform(ends, last_consonant))
+
+
+def shared_tail(tails: Column) -> Column:
+    """What all elements are, else null."""
+    return F.when((F.size(F.array_distinct(tails)) == 1) & (F.size(tails) > 0), F.get(tails, F.lit(0)))
 
 
 def ends_of(verses: Column) -> Column:
@@ -142,10 +146,22 @@ def without_vowel_end(word: Column) -> Column:
 
 def rhyme_letter(verses: Column) -> Column:
     """Letter on which the lines rhyme: the last of the first end, unified; null without two ends."""
-    ends = F.transform(ends_of(verses), lambda w: strip_marks(without_vowel_end(w)))
+    return rhyme_letter_of(F.transform(ends_of(verses), bare_end))
+
+
+def bare_end(word: Column) -> Column:
+    return strip_marks(without_vowel_end(word))
+
+
+def unified(letter: Column) -> Column:
+    """The letter as which it rhymes."""
+    return F.coalesce(_map(SAME_RHYME)[letter], letter)
+
+
+def rhyme_letter_of(ends: Column) -> Column:
+    """Last letter, unified, of the first bare end that has two letters."""
     ends = F.filter(ends, lambda w: F.length(w) >= 2)
-    letter = F.right(F.get(ends, F.lit(0)), F.lit(1))
-    return F.when(F.size(ends) >= 1, F.coalesce(_map(SAME_RHYME)[letter], letter))
+    return F.when(F.size(ends) >= 1, unified(F.right(F.get(ends, F.lit(0)), F.lit(1))))
 
 
 def letter_name(letter: Column) -> Column:

@@ -44,10 +44,8 @@ def fan_out(items: DataFrame, item_id: str, sources: list[str]) -> DataFrame:
     """
     names = [HUMAN, *[s for s in sources if s != HUMAN]]
     texts = F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"`{s}`").alias("text")) for s in names])
-    long = items.select(item_id, F.inline(texts))
-    long = long.filter(F.col("text").isNotNull() & (strip(F.col("text")) != ""))
-    human = items.select(F.col(item_id).alias("h"), F.col(HUMAN).alias("human_text"))
-    both = long.join(human, F.col(item_id) == F.col("h")).drop("h")
+    both = items.select(item_id, F.col(HUMAN).alias("human_text"), F.inline(texts))
+    both = both.filter(F.col("text").isNotNull() & (strip(F.col("text")) != ""))
     compare = (F.col("source") != HUMAN) & F.col("human_text").isNotNull() & (strip(F.col("human_text")) != "")
     kinds = F.explode(F.when(compare, F.array(F.lit("single"), F.lit("comparative"))).otherwise(F.array(F.lit("single"))))
     rows = both.select(F.col(item_id).alias("item_id"), "source", "text", "human_text", kinds.alias("kind"))
@@ -105,10 +103,17 @@ def in_all_files(scores: DataFrame, keys: list[str], file: str = "file") -> Data
     return scores.join(full.select(*keys), keys, "left_semi")
 
 
-def two_level_mean(scores: DataFrame, keys: list[str], metrics: list[str], file: str = "file") -> DataFrame:
-    """Mean per key inside each file, then the mean of these over the files."""
+def two_level_mean(scores: DataFrame, keys: list[str], metrics: list[str], file: str = "file", in_all: bool = False) -> DataFrame:
+    """Mean per key inside each file, then the mean of these over the files; ``in_all`` keeps keys that occur in every file.
+
+    Scores are read once; the number of files, one row, comes from the per-file means.
+    """
     inner = scores.groupBy(*keys, file).agg(*[F.avg(m).alias(m) for m in metrics])
-    return inner.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics])
+    out = inner.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics], F.count(file).alias("_files"))
+    if in_all:
+        files = scores.agg(F.countDistinct(file).alias("_all"))
+        out = out.join(F.broadcast(files), F.col("_files") == F.col("_all"))
+    return out.select(*keys, *metrics)
 
 
 def ranking(scores: DataFrame, by: str, total: str, metrics: list[str]) -> DataFrame:
@@ -122,9 +127,22 @@ def summary(scores: DataFrame, by: str, total: str) -> DataFrame:
 
 
 def box_plot(scores: DataFrame, by: str, total: str) -> DataFrame:
-    """Exact quartiles and ends per group."""
-    q = F.percentile(total, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return scores.groupBy(by).agg(q.alias("q")).select(by, *[F.col("q")[i].alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    """Exact quartiles, between neighbours where they fall there, and ends per group.
+
+    Values are counted first, so a group is a running sum over its distinct values.
+    """
+    counted = scores.filter(F.col(total).isNotNull()).groupBy(by, F.col(total).alias("_v")).agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(by)
+    counted = counted.withColumns({"_upto": F.sum("_n").over(over.orderBy("_v")), "_all": F.sum("_n").over(over)})
+    cuts = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
+    out = []
+    for name, share in cuts.items():
+        place = (F.col("_all") - 1) * F.lit(share)
+        for side, at in (("a", F.floor(place)), ("b", F.ceil(place))):
+            out.append(F.min(F.when(F.col("_upto") > at, F.col("_v"))).alias(f"{name}_{side}"))
+    rows = counted.groupBy(by).agg(F.first("_all").alias("_all"), *out)
+    inside = {name: (F.col("_all") - 1) * F.lit(share) - F.floor((F.col("_all") - 1) * F.lit(share)) for name, share in cuts.items()}
+    return rows.select(by, *[(F.col(f"{n}_a") + part * (F.col(f"{n}_b") - F.col(f"{n}_a"))).alias(n) for n, part in inside.items()])
 
 
 def correlations(scores: DataFrame, metrics: list[str]) -> DataFrame:
@@ -187,3 +205,15 @@ def best_of(candidates: DataFrame, key: str, index: str, score: str) -> DataFram
     """The candidate of highest score; the smallest index wins a tie, and is taken where no score is known."""
     worth = F.coalesce(F.col(score), F.lit(float("-inf")))
     return candidates.groupBy(key).agg(F.max(F.struct(worth.alias("score"), (-F.col(index)).alias("back"))).alias("m")).select(key, (-F.col("m.back")).alias(index), F.when(F.col("m.score") != float("-inf"), F.col("m.score")).alias(score))
+
+
+def flattened(answers: DataFrame, column: str) -> DataFrame:
+    """``answers`` with a number column for each metric of the scores in a JSON text; a missing or other value is null."""
+    told = F.from_json(F.col(column), ", ".join(f"{m} string" for m in METRICS))
+    return answers.withColumn("_told", told).select("*", *[F.col(f"_told.{m}").try_cast("double").alias(m) for m in METRICS]).drop("_told")
+
+
+def resumed(results: DataFrame, items: DataFrame, item_id: str, sources: list[str]) -> DataFrame:
+    """Results of an earlier run joined to their items by the ids in their custom ids; results of unknown items go."""
+    told = decode_id(results, sources)
+    return told.join(items, told["item_id"] == items[item_id].cast("string")).drop("item_id")

@@ -105,18 +105,17 @@ def diverse(corpus: DataFrame, criteria: Criteria, limit: int = 5, per_attribute
     """Up to ``per_attribute`` rows for each given attribute in turn, then a seeded random fill.
 
     A row found for an earlier attribute is not taken again.  Every branch is a
-    small top-k by ``poem_idx``; ``rank`` is the order of the result.
+    small top-k by ``poem_idx`` of one read; ``rank`` is the order of the result.
     """
     order = ("meter", "theme", "qafiya", "poet_name")
-    taken = None
-    for i, a in enumerate(a for a in order if getattr(criteria, a)):
-        found = corpus.filter(attribute_hit(a, getattr(criteria, a))).orderBy("poem_idx").limit(per_attribute)
-        found = found.select("poem_idx", F.lit(i).alias("branch"))
-        taken = found if taken is None else taken.unionByName(found)
+    most = limit + per_attribute * len(order)
     shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("poem_idx").cast("string")))
-    fill = corpus.select("poem_idx", shuffled.alias("key")).orderBy("key", "poem_idx").limit(limit + per_attribute * len(order))
-    fill = fill.select("poem_idx", F.lit(len(order)).alias("branch"), "key")
-    both = fill if taken is None else taken.withColumn("key", F.lit(None).cast("string")).unionByName(fill)
+    branches = [F.when(attribute_hit(a, getattr(criteria, a)), F.lit(i)) for i, a in enumerate(a for a in order if getattr(criteria, a))]
+    rows = corpus.select("poem_idx", shuffled.alias("key"), F.explode(F.array(*branches, F.lit(len(order)))).alias("branch")).filter("branch is not null")
+    rows = rows.withColumn("key", F.when(F.col("branch") == len(order), F.col("key")))
+    # one read: the window keeps the first rows of each branch before the shuffle
+    place = F.row_number().over(Window.partitionBy("branch").orderBy("key", "poem_idx"))
+    both = rows.withColumn("place", place).filter(F.col("place") <= max(most, per_attribute)).filter((F.col("branch") == len(order)) | (F.col("place") <= per_attribute))
     first = both.groupBy("poem_idx").agg(F.min(F.struct("branch", "key")).alias("at"))
     ranked = first.select("poem_idx", "at.branch", "at.key").orderBy("branch", F.when(F.col("branch") < len(order), F.col("poem_idx")), "key").limit(limit)
     place = Window.orderBy("branch", F.when(F.col("branch") < len(order), F.col("poem_idx")), "key")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rawi.functions import arabic as A
 from rawi.functions import text as X
 from rawi.operators import rhyme as R
+from rawi.operators.steps import once, pair_rows, with_pairs
 from rawi.sources.tables import table
 
 
@@ -22,19 +23,17 @@ def lines(spark, sf_dir):
 
 
 def verse_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    v = X.verses(F.col("text"))
-    return d.select("doc_id", X.verse_count(X.lines(F.col("text"))).cast("long").alias("n_verses"), F.size(X.pairs(v)).cast("long").alias("n_pairs"), (F.size(v) % 2 == 0).alias("even"))
+    d = with_pairs(table(spark, sf_dir, "documents"), ["doc_id"])
+    return d.select("doc_id", X.verse_count(F.col("verses")).cast("long").alias("n_verses"), F.size("pairs").cast("long").alias("n_pairs"), (F.size("verses") % 2 == 0).alias("even"))
 
 
 def bait_pairs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", X.pairs(X.verses(F.col("text"))).alias("p"))
-    return d.select("doc_id", F.posexplode("p").alias("pair_no", "pair")).select("doc_id", F.col("pair_no").cast("long").alias("pair_no"), F.col("pair.first").alias("first"), F.col("pair.second").alias("second"))
+    return pair_rows(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def pair_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", X.pairs(X.verses(F.col("text"))).alias("p")).filter(F.size("p") > 0)
-    return d.select("doc_id", F.md5(X.pairs_text(F.col("p"))).alias("digest"))
+    d = with_pairs(table(spark, sf_dir, "documents"), ["doc_id"]).filter(F.size("pairs") > 0)
+    return d.select("doc_id", F.md5(X.pairs_text(F.col("pairs"))).alias("digest"))
 
 
 def rhyme_dictionary(spark, sf_dir):
@@ -72,13 +71,21 @@ def rhyme_majority(spark, sf_dir):
     return R.majority_letter(lines(spark, sf_dir).filter("pos % 2 = 1"))
 
 
+def poem_ends(spark, sf_dir):
+    """poem_idx and the last words of every second line; lines are cleaned once."""
+    cleaned = once(poems(spark, sf_dir), ["poem_idx"], lines=F.transform("verses", A.clean_line))
+    kept = once(cleaned, ["poem_idx"], lines=F.filter("lines", lambda v: v != ""))
+    return once(kept, ["poem_idx"], ends=A.ends_of(F.col("lines")))
+
+
 def rhyme_letter_first(spark, sf_dir):
-    return poems(spark, sf_dir).select("poem_idx", R.longer_rhyme(F.filter(F.transform("verses", A.clean_line), lambda v: v != "")).alias("letter"))
+    bare = once(poem_ends(spark, sf_dir), ["poem_idx"], ends=F.transform("ends", A.bare_end))
+    return bare.select("poem_idx", F.coalesce(A.rhyme_letter_of(F.col("ends")), F.lit("")).alias("letter"))
 
 
 def rhyme_uniform(spark, sf_dir):
-    ends = A.ends_of(F.filter(F.transform("verses", A.clean_line), lambda v: v != ""))
-    return poems(spark, sf_dir).select("poem_idx", A.uniform_rhyme(ends).alias("rhyme"))
+    tails = once(poem_ends(spark, sf_dir), ["poem_idx"], tails=F.transform("ends", A.last_consonant))
+    return tails.select("poem_idx", A.shared_tail(F.col("tails")).alias("rhyme"))
 
 
 def last_words(spark, sf_dir):
@@ -115,9 +122,15 @@ _DICT = rf"""verse AS (
 _LINES = rf"lines AS (SELECT doc_id AS poem_idx, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM (SELECT doc_id, list_filter(list_transform({_T}, lambda x: trim(x)), lambda x: x <> '') AS l FROM documents))"
 _BARE = r"[\x{064B}-\x{0652}]"
 _CLEAN = rf"list_filter(list_transform({_T}, lambda x: trim(regexp_replace(regexp_replace(x, '[\x{{0640}}\x{{200F}}\x{{200E}}\x{{202C}}]', '', 'g'), '[،؛؟!.\-\s]+$', ''))), lambda x: x <> '')"
-_PREFIX = " ".join(f"WHEN starts_with(word, '{p}') THEN '{s}' || substr(word, {len(p) + 1})" for p, s in A.PREFIXES)
-_SAME = "CASE letter " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in A.SAME_RHYME.items()) + " ELSE letter END"
-_NAMES = "CASE letter " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in A.LETTER_NAMES.items()) + " ELSE letter END"
+# literal values, so that a wrong table of the library shows
+_PREFIX = """WHEN starts_with(word, 'وبال') THEN 'ال' || substr(word, 5) WHEN starts_with(word, 'كال') THEN 'ال' || substr(word, 4) WHEN starts_with(word, 'وال') THEN 'ال' || substr(word, 4)
+  WHEN starts_with(word, 'فال') THEN 'ال' || substr(word, 4) WHEN starts_with(word, 'بال') THEN 'ال' || substr(word, 4) WHEN starts_with(word, 'ولل') THEN 'ال' || substr(word, 4)
+  WHEN starts_with(word, 'لل') THEN 'ال' || substr(word, 3) WHEN starts_with(word, 'وا') THEN 'ا' || substr(word, 3) WHEN starts_with(word, 'فا') THEN 'ا' || substr(word, 3)"""
+_SAME = "CASE WHEN letter IN ('أ', 'إ', 'ؤ', 'ئ', 'آ') THEN 'ء' WHEN letter IN ('ى', 'ٱ') THEN 'ا' WHEN letter IN ('ة', 'ہ', 'ھ') THEN 'ه' WHEN letter = 'ک' THEN 'ك' WHEN letter = 'ی' THEN 'ي' ELSE letter END"
+_NAMES = """CASE letter WHEN 'ا' THEN 'الألف' WHEN 'ب' THEN 'الباء' WHEN 'ت' THEN 'التاء' WHEN 'ث' THEN 'الثاء' WHEN 'ج' THEN 'الجيم' WHEN 'ح' THEN 'الحاء' WHEN 'خ' THEN 'الخاء' WHEN 'د' THEN 'الدال'
+  WHEN 'ذ' THEN 'الذال' WHEN 'ر' THEN 'الراء' WHEN 'ز' THEN 'الزاي' WHEN 'س' THEN 'السين' WHEN 'ش' THEN 'الشين' WHEN 'ص' THEN 'الصاد' WHEN 'ض' THEN 'الضاد' WHEN 'ط' THEN 'الطاء' WHEN 'ظ' THEN 'الظاء'
+  WHEN 'ع' THEN 'العين' WHEN 'غ' THEN 'الغين' WHEN 'ف' THEN 'الفاء' WHEN 'ق' THEN 'القاف' WHEN 'ك' THEN 'الكاف' WHEN 'ل' THEN 'اللام' WHEN 'م' THEN 'الميم' WHEN 'ن' THEN 'النون' WHEN 'ه' THEN 'الهاء'
+  WHEN 'و' THEN 'الواو' WHEN 'ي' THEN 'الياء' ELSE letter END"""
 
 SQL = {
     "verse_counts": f"SELECT doc_id, CAST(len({_V}) AS BIGINT) AS n_verses, CAST(CASE WHEN len({_V}) % 2 = 0 THEN len({_V}) // 2 ELSE 0 END AS BIGINT) AS n_pairs, len({_V}) % 2 = 0 AS even FROM documents",

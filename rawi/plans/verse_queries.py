@@ -20,17 +20,24 @@ def beats(spark, sf_dir):
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), code.alias("beat")).filter("beat <> ''")
 
 
+def prefixes(rows, shortest: int, longest: int):
+    """The prefixes of each line's pattern, from ``shortest`` to ``longest`` letters."""
+    long = rows.filter(F.length("beat") >= shortest)
+    sizes = F.sequence(F.lit(shortest), F.least(F.length("beat"), F.lit(longest)))
+    return long.select("doc_id", "pos", F.explode(F.transform(sizes, lambda n: F.substring("beat", F.lit(1), n))).alias("pattern"))
+
+
 def pattern_membership(spark, sf_dir):
     """Lines that begin with a whole foot, by foot and form."""
-    starts = beats(spark, sf_dir).select("doc_id", "pos", F.explode(F.transform(F.sequence(F.lit(3), F.lit(9)), lambda n: F.substring("beat", F.lit(1), n))).alias("pattern")).distinct()
+    starts = prefixes(beats(spark, sf_dir), 3, 9)
     return starts.join(F.broadcast(M.feet(spark)), "pattern").groupBy("foot", "form", "pattern").agg(F.count("*").alias("n"))  # 37 fixed rows
 
 
 def half_prefix_membership(spark, sf_dir):
     """Lines that begin with a half line of a one-half meter or of any meter's first half."""
     halves = M.halves(spark).filter("half = 0").select("meter", "pattern").distinct()
-    starts = beats(spark, sf_dir).select("doc_id", "pos", F.explode(F.transform(F.sequence(F.lit(8), F.lit(32)), lambda n: F.substring("beat", F.lit(1), n))).alias("pattern")).distinct()
-    return starts.join(halves, "pattern").groupBy("meter").agg(F.count("*").alias("n"))
+    starts = prefixes(beats(spark, sf_dir), 8, 32)
+    return starts.join(F.broadcast(halves), "pattern").groupBy("meter").agg(F.count("*").alias("n"))  # some 3,000 fixed rows
 
 
 def first_foot(spark, sf_dir):
@@ -59,7 +66,7 @@ def marked(spark, sf_dir):
 
 def scansion(spark, sf_dir):
     s = S.scan("line")
-    return marked(spark, sf_dir).withColumn("s", s).groupBy("poem_idx").agg(F.count("*").alias("n"), F.count("s.error").alias("failed"), F.sum(F.length("s.pattern")).alias("beats"))
+    return marked(spark, sf_dir).withColumn("s", s).groupBy("poem_idx").agg(F.count("*").alias("n"), F.count("s.error").alias("failed"), F.sum(F.length("s.pattern")).alias("beats"), F.sum(F.length("s.spelling")).alias("letters"))
 
 
 def rawwy(spark, sf_dir):
