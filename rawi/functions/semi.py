@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rawi.functions.text import SPACE, strip
 
@@ -67,3 +71,45 @@ def custom_result(line: Column) -> Column:
     shape = "custom_id string, response struct<body: struct<choices: array<struct<message: struct<content: string>>>>>"
     row = F.from_json(line, shape)
     return F.when(row["custom_id"].isNotNull(), F.struct(row["custom_id"].alias("custom_id"), F.get(row["response"]["body"]["choices"], F.lit(0))["message"]["content"].alias("content")))
+
+
+@F.pandas_udf(StringType())
+def first_object(texts: pd.Series) -> pd.Series:
+    """The first JSON object in each text, up to its closing brace; null where none closes.
+
+    Braces nest, which regular expressions cannot follow; braces in strings do not count.
+    """
+    return texts.map(_balanced, na_action="ignore")
+
+
+_SIGN = re.compile(r'\\.|["{}]', re.DOTALL)
+
+
+def _balanced(text: str) -> str | None:
+    begin = text.find("{")
+    depth, quoted = 0, False
+    for m in _SIGN.finditer(text, begin) if begin >= 0 else ():
+        if m[0] == '"':
+            quoted = not quoted
+        elif not quoted and m[0] in "{}":
+            depth += 1 if m[0] == "{" else -1
+            if depth == 0:
+                return text[begin : m.end()]
+    return None
+
+
+def lists_hold(json: Column, names: list[str]) -> Column:
+    """Are all these fields of a JSON object arrays?"""
+    ok = F.lit(True)
+    for name in names:
+        ok = ok & F.coalesce(F.json_array_length(F.get_json_object(json, f"$.{name}")).isNotNull(), F.lit(False))
+    return ok
+
+
+def verdict_of(text: Column, yes: list[str], field: str = "is_valid") -> Column:
+    """A verdict from a JSON answer; from prose, whether it holds one of the words for yes."""
+    told = F.from_json(json_text(text), f"{field} boolean")[field]
+    said = F.lit(False)
+    for word in yes:
+        said = said | F.lower(text).contains(word)
+    return F.coalesce(told, said)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rawi.functions.text import strip
+
 
 def matched_results(requests: DataFrame, results: DataFrame, key: str = "custom_id") -> DataFrame:
     return requests.join(results, key)
@@ -85,3 +87,36 @@ def sections(rows: DataFrame, key: str, order: str, line: str, starts: Column) -
     tagged = rows.withColumn("section", number)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line]), "\n")
     return tagged.groupBy(key, "section").agg(joined.alias("text"), F.count("*").alias("n_lines"))
+
+
+def by_model(provider: Column, model: Column, text: Column, wanted_provider: str, wanted_model: str) -> Column:
+    """Is the text, not blank, of the provider and of a model whose name holds the wanted one?"""
+    return F.coalesce((provider == wanted_provider) & model.contains(wanted_model) & (strip(text) != ""), F.lit(False))
+
+
+def with_thoughts(model: Column, thoughts: Column, wanted_model: str) -> Column:
+    """Is the answer of such a model, and are its thoughts known?"""
+    return F.coalesce(model.contains(wanted_model) & (F.size(thoughts) > 0), F.lit(False))
+
+
+def is_batch_id(c: Column) -> Column:
+    return F.coalesce(c.startswith("batch_"), F.lit(False))
+
+
+def entries(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """The values of each key as a list, in order; a key's list is a bounded set of records."""
+    at = F.struct(F.col(order).alias("at"), F.col(value).alias("value"))
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["value"]).alias("entries"))
+
+
+def generated(answers: DataFrame, key: str, answer: str, error: str, generation: int = 1) -> DataFrame:
+    """Records of new answers named ``<key>_gen_<k>``; failed ones are tagged, and empty answers without an error are dropped."""
+    name = F.concat(F.col(key).cast("string"), F.lit(f"_gen_{generation}"), F.when(F.col(error).isNotNull(), "_error").otherwise(""))
+    return answers.withColumn("instance_id", name).filter(F.col(error).isNotNull() | (strip(F.coalesce(F.col(answer), F.lit(""))) != ""))
+
+
+def all_invalid(n: Column, message: Column) -> Column:
+    """``n`` pairs, all invalid for one reason."""
+    pair = lambda i: F.struct(i.alias("pair_no"), F.lit(False).alias("valid"), message.alias("message"))
+    none = F.array().cast("array<struct<pair_no:bigint,valid:boolean,message:string>>")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("long"), n.cast("long")), pair)).otherwise(none)

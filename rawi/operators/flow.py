@@ -62,7 +62,7 @@ class Flow:
         for step, (name, node, _) in enumerate(self.nodes, 1):
             began = time.monotonic()
             df = node(df)
-            trace.append({"step": step, "component": name, "duration_ms": int((time.monotonic() - began) * 1000), "columns": list(df.columns)})
+            trace.append({"step": step, "component": name, "planning_ms": int((time.monotonic() - began) * 1000), "columns": list(df.columns)})
         return df, trace
 
 
@@ -74,10 +74,12 @@ def from_config(registry: Registry, configs: list[dict]) -> Flow:
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """``df`` by way of a table in the folder of ``spark.checkpoint.dir``, where that is set."""
+    """``df`` by way of a table in the folder of ``spark.checkpoint.dir``; a local master without that setting gets a folder."""
     spark: SparkSession = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="spark-")

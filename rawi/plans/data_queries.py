@@ -9,6 +9,8 @@ from rawi.functions import text as X
 from rawi.operators import curate as K
 from rawi.operators import scores as S
 from rawi.operators import trace as T
+from rawi.operators import web as W
+from rawi.operators.steps import pair_rows
 from rawi.sources.tables import table
 
 
@@ -32,8 +34,7 @@ def _round(df, *columns):
 
 def score_two_level_mean(spark, sf_dir):
     j = judged(spark, sf_dir).withColumn("base", S.base_source(F.col("source")))
-    full = S.in_all_files(j, ["item_id", "base"])
-    return _round(S.two_level_mean(full, ["item_id", "base"], ["total", "meter", "rhyme"]), "total", "meter", "rhyme")
+    return _round(S.two_level_mean(j, ["item_id", "base"], ["total", "meter", "rhyme"], in_all=True), "total", "meter", "rhyme")
 
 
 def score_ranking(spark, sf_dir):
@@ -97,8 +98,8 @@ def custom_id_roundtrip(spark, sf_dir):
 
 
 def score_unswap(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
-    compared = line.select(F.col("l_orderkey").alias("item_id"), F.col("l_returnflag").alias("source"), (F.col("l_suppkey") % 2 == 0).alias("ai_first"), F.array("l_quantity", "l_tax").alias("scores"))
+    line = table(spark, sf_dir, "lineitem")
+    compared = line.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item_id"), F.col("l_returnflag").alias("source"), (F.col("l_suppkey") % 2 == 0).alias("ai_first"), F.array("l_quantity", "l_tax").alias("scores"))
     return S.unswap(compared)
 
 
@@ -124,7 +125,7 @@ def best_of_n(spark, sf_dir):
 
 def result_join(spark, sf_dir):
     o, line = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("custom_id"), "o_totalprice"), table(spark, sf_dir, "lineitem")
-    results = line.filter("l_linenumber = 4").select(F.col("l_orderkey").alias("custom_id"), "l_quantity")
+    results = line.select(F.col("l_orderkey").alias("custom_id"), "l_linenumber", "l_quantity")
     return K.matched_results(o, results)
 
 
@@ -181,7 +182,10 @@ def section_split(spark, sf_dir):
 
 
 def web_gate(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 7) & (F.col("l_linenumber") < 4)).select("l_orderkey", "l_linenumber")
+    judged = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_linenumber") - 1).alias("result_index"), F.lit(3).alias("total"), F.when(F.col("l_returnflag") != "A", F.col("l_returnflag") == "R").alias("is_worth_following"), F.col("l_quantity").alias("relevance_score")
+    )
+    return W.worth_following(judged).select("l_orderkey", "l_linenumber")
 
 
 def html_lines(spark, sf_dir):
@@ -233,8 +237,7 @@ def template_parameters(spark, sf_dir):
 
 def bait_pairs_of(spark, sf_dir):
     """Pairs of lines of the documents that have an even number of them."""
-    d = table(spark, sf_dir, "documents").select("doc_id", X.pairs(X.verses(F.col("text"))).alias("p"))
-    return d.select("doc_id", F.posexplode("p").alias("pair_no", "pair")).select("doc_id", F.col("pair_no").cast("long").alias("pair_no"), F.col("pair.first").alias("first"), F.col("pair.second").alias("second"))
+    return pair_rows(table(spark, sf_dir, "documents"), "doc_id")
 
 
 QUERIES = {
@@ -270,15 +273,15 @@ SQL = {
     "score_fanout": f"WITH {WIDE} SELECT item_id, source, kind, replace(replace(CAST(item_id AS VARCHAR) || '_' || source || '_' || kind, '-', '_'), '.', '_') AS custom_id FROM requests",
     "score_requests": f"WITH {WIDE} SELECT CAST(sum(CASE WHEN human IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN a IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN b IS NOT NULL THEN 2 ELSE 0 END) AS BIGINT) AS requests FROM wide",
     "custom_id_roundtrip": f"WITH {WIDE} SELECT replace(replace(CAST(item_id AS VARCHAR) || '_' || source || '_' || kind, '-', '_'), '.', '_') AS custom_id, CAST(item_id AS VARCHAR) AS item_id, source, kind FROM requests",
-    "score_unswap": """SELECT l_orderkey AS item_id, l_returnflag || '_vs_human' AS source, CASE WHEN l_suppkey % 2 = 0 THEN l_quantity ELSE l_tax END AS score FROM lineitem WHERE l_linenumber = 1
-      UNION ALL SELECT l_orderkey, 'human_vs_' || l_returnflag, CASE WHEN l_suppkey % 2 = 0 THEN l_tax ELSE l_quantity END FROM lineitem WHERE l_linenumber = 1""",
+    "score_unswap": """SELECT l_orderkey * 8 + l_linenumber AS item_id, l_returnflag || '_vs_human' AS source, CASE WHEN l_suppkey % 2 = 0 THEN l_quantity ELSE l_tax END AS score FROM lineitem
+      UNION ALL SELECT l_orderkey * 8 + l_linenumber, 'human_vs_' || l_returnflag, CASE WHEN l_suppkey % 2 = 0 THEN l_tax ELSE l_quantity END FROM lineitem""",
     "quality_score": """SELECT l_orderkey, l_linenumber, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE - CASE WHEN l_linenumber < 5 AND l_quantity < 20 THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN l_discount > 0.05::DOUBLE THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END,
       CASE WHEN l_returnflag <> 'N' THEN 1 - l_tax * 10 END)), 6) AS quality FROM lineitem""",
     "bait_rollup": """WITH g AS (SELECT l_orderkey, count(*) AS n, CAST(sum(CASE WHEN l_quantity > 10 THEN 1 ELSE 0 END) AS BIGINT) AS n_valid, string_agg(CASE WHEN l_quantity <= 10 THEN CAST(l_linenumber AS VARCHAR) END, ', ' ORDER BY l_linenumber) AS bad FROM lineitem GROUP BY l_orderkey)
       SELECT l_orderkey, n, n_valid, n = n_valid AS all_valid, CASE WHEN n = n_valid THEN 'all pairs are valid' WHEN n_valid = 0 THEN 'no pair is valid' WHEN n - n_valid < 5 THEN 'invalid pairs: ' || bad ELSE CAST(n - n_valid AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) || ' pairs are invalid' END AS said FROM g""",
     "early_stop": "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, min(CASE WHEN l_quantity >= 45 THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS f FROM lineitem) WHERE f IS NULL OR l_linenumber <= f",
     "best_of_n": "SELECT l_orderkey, l_linenumber, score FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC NULLS LAST, l_linenumber) AS r FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'A' THEN l_quantity END AS score FROM lineitem)) WHERE r = 1",
-    "result_join": "SELECT o_orderkey AS custom_id, o_totalprice, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 4",
+    "result_join": "SELECT o_orderkey AS custom_id, o_totalprice, l_linenumber, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
     "result_misses": "SELECT o_orderkey AS custom_id, o_orderpriority FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 4)",
     "unprocessed_sample": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) >= 4 ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 50",
     "upsert_missing": "SELECT DISTINCT o_custkey AS id, 'order' AS origin FROM orders UNION ALL SELECT c_custkey, 'customer' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",

@@ -27,7 +27,8 @@ def batch_output(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed_output(lines: DataFrame) -> DataFrame:
-    return lines.select(custom_result(F.col("value")).alias("r")).filter("r is not null").select("r.custom_id", "r.content")
+    extra = [c for c in lines.columns if c != "value"]
+    return lines.select(custom_result(F.col("value")).alias("r"), *extra).filter("r is not null").select("r.custom_id", "r.content", *extra)
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,8 @@ def state(c: Column) -> Column:
 
 def arrivals(spark: SparkSession, folder: str) -> DataFrame:
     """Parsed result lines of the files in a folder as they come."""
-    return parsed_output(spark.readStream.text(folder))
+    lines = spark.readStream.text(folder)
+    return parsed_output(lines.select("value", F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_path").alias("file")))
 
 
 def collect_available(spark: SparkSession, folder: str, out: str, checkpoint: str) -> None:
@@ -31,5 +32,5 @@ def collect_available(spark: SparkSession, folder: str, out: str, checkpoint: st
 
 
 def latest_per_item(spark: SparkSession, out: str) -> DataFrame:
-    """One row per custom id of the collected results."""
-    return spark.read.parquet(out).groupBy("custom_id").agg(F.max("content").alias("content"))
+    """One row per custom id of the collected results: that of the file that came last, by name among files of one time."""
+    return spark.read.parquet(out).groupBy("custom_id").agg(F.max_by("content", F.struct("arrived", "file", "content")).alias("content"))
