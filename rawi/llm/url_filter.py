@@ -17,6 +17,7 @@ of any length are read whole.  Repeated rows and extra columns change nothing.
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -43,6 +44,38 @@ SEED_URLS = [(u, 1) for u in (
     "https://thehistory.example.com/en/676", "http://relation.example.net/en/770", "https://mountain.example.com/fr/414", "http://other.example.org/en/148.html",
 )]
 
+#: Words of unwanted and of ordinary hosts, from which further labelled urls are made.
+UNWANTED = """pills pharmacy viagra casino bets poker slots spam linkfarm ads adserver tracker pixel prize lottery loan payday money adult cams xxx escort replica cheap crack keygen warez torrent phish
+malware popup clickbait jackpot bonus discount diet win free""".split()
+ORDINARY = """news library museum school university docs wiki garden recipes weather research history city council hospital theatre music science travel nature archive journal market bakery bridge river
+forest station language teacher nation blog method relation mountain reading weekend children physics chess""".split()
+
+
+#: The commonest letter pairs of English; most hosts are names that no list holds, and these stand for them.
+PAIRS = "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le ly ve me io ne ra ce li ch ll be ma si om ur".split()
+
+
+def made_names(n: int = 250, seed: int = 23) -> list[str]:
+    rng = random.Random(seed)
+    return ["".join(rng.choice(PAIRS) for _ in range(rng.randint(2, 4))) for _ in range(n)]
+
+
+def made_urls(words: list[str], label: int, per_word: int = 4, seed: int = 11) -> list[tuple[str, int]]:
+    """Urls around each word: it alone, or with another word of its kind, under any domain and with a path of any kind."""
+    rng, out = random.Random(seed), []
+    for word in words:
+        for _ in range(per_word):
+            name = word if rng.random() < 0.4 else rng.choice([f"{word}-{rng.choice(words)}", f"{rng.choice(words)}{word}", f"{word}{rng.randint(1, 99)}", f"the{word}"])
+            host = rng.choice(["", "", "www.", "m.", "blog."]) + name + ".example." + rng.choice(["com", "net", "org"])
+            path = rng.choice(["", "/", f"/en/{rng.randint(1, 999)}", f"/fr/{rng.randint(1, 999)}/", f"/es/{rng.randint(1, 999)}.html", f"/de/{rng.randint(1, 999)}", "/index.html", f"/page/{rng.randint(1, 99)}"])
+            out.append((f"{rng.choice(['http', 'https'])}://{host}{path}", label))
+    return out
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The listed urls and some 1,100 made ones."""
+    return SEED_URLS + made_urls(UNWANTED, 1, 12) + made_urls(ORDINARY, 0) + made_urls(made_names(), 0, 2)
+
 
 def parts(url: Column) -> tuple[Column, Column]:
     """(host, path) of a url; both empty where there is no ``://``."""
@@ -99,7 +132,7 @@ class UrlModel:
 
 
 def seed_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEED_URLS, "url string, label int")
+    return spark.createDataFrame(labelled_urls(), "url string, label int")
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, cut: float = 0.5, max_labelled: int = 10_000) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rawi.llm import language_id, quality_rules, secrets_scan, toxicity, url_filter
 from rawi.llm.wordstream import PLAIN, Words, window_hashes
 
-from .helpers import SCHEMA, WORD, documents, frame, odd_rows
+from .helpers import SCHEMA, WORD, documents, frame, odd_rows, text
 
 
 def test_words_and_windows():
@@ -47,6 +47,42 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_parts_and_rules_by_hand(spark):
+    rng = random.Random(9)
+    bits = ["http://", "https://", "://", "ftp:/", "a.", "Example.org", "example.ORG", "x.com", "com", "net", "/", "/es/", "/en/1", "/fr/", "/de/", "?q=1", "#top", "://", "é", " "]
+    urls = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 6))) for _ in range(400)] + [None]
+
+    def parts(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+
+    def rule(host, path):
+        fits = [(action, r) for action, r in url_filter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        return max(fits, key=lambda x: len(x[1]), default=(None, None))
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    model = url_filter.UrlModel([(*parts(u), y) for u, y in sorted(url_filter.labelled_urls(), key=lambda x: hashlib.md5(x[0].encode()).hexdigest())])
+    for r in url_filter.judge_urls(pages).collect():
+        host, path = parts(urls[r.page_id])
+        action, text = rule(host, path)
+        assert (r.host, r.path, r.rule) == (host, path, text), urls[r.page_id]
+        assert r.verdict == (action or ("block" if model.score(host, path) >= 0.5 else "allow"))
+
+
+def test_url_model_on_held_out_urls():
+    learn = url_filter.labelled_urls()
+    cut = lambda u: (re.split("[/?#]", u.split("://")[1])[0], "/" + u.split("://")[1].partition("/")[2])
+    model = url_filter.UrlModel([(*cut(u), y) for u, y in learn])
+    known = {u for u, _ in learn}
+    fresh = [(u, y) for u, y in url_filter.made_urls(url_filter.UNWANTED, 1, 12, 97) + url_filter.made_urls(url_filter.ORDINARY, 0, 12, 98) + url_filter.made_urls(url_filter.made_names(300, 5), 0, 1, 99) if u not in known]
+    said = [(model.score(*cut(u)) >= 0.5, y) for u, y in fresh]
+    right = sum(s and y for s, y in said)
+    assert right / sum(s for s, _ in said) >= 0.95 and right / sum(y for _, y in said) >= 0.95, (right, len(said))
+
+
 def test_url_model_learns():
     m = url_filter.UrlModel([(f"bad{i}.net", "/x", 1) for i in range(20)] + [(f"fine{i}.net", "/x", 0) for i in range(20)])
     assert m.score("bad99.net", "/x") > 0.5 > m.score("fine99.net", "/x")
@@ -71,6 +107,46 @@ def test_language(spark):
     assert language_id.identify(docs.limit(0), tables).count() == 0
 
 
+def test_language_by_hand(spark):
+    """The scores of plain dictionaries: words first, else the longest known sequences at each place."""
+    rng = random.Random(21)
+    rows = [(i, text(rng, lang, rng.choice([3, 20])), lang, "s", 0) for i in range(60) for lang in ("en", "fr", "de")[i % 3 : i % 3 + 1]]
+    rows += [(100, "zz qq erxx", "en", "s", 0), (101, "onhean le ver", None, "s", 0)]
+    learn = [r for r in rows if r[2] and r[0] % 4]
+    langs = ["de", "en", "fr"]
+    words_of = lambda t: re.findall(r"[a-z\u0080-\U0010ffff]+", t.lower())
+    count = [{lang: Counter() for lang in langs} for _ in range(5)]
+    places = lambda run, n: [run[i : i + n] for i in range(len(run) - n + 1)]
+    for _, t, lang, *_ in learn:
+        for w in words_of(t):
+            count[0][lang][w] += 1
+            for n in range(1, 5):
+                count[n][lang].update(places(f"^{w}$", n))
+    sizes = [len(set().union(*[c[lang] for lang in langs])) for c in count]
+    base = [{lang: np.log(0.5 / (sum(c[lang].values()) + 0.5 * max(k, 1))) for lang in langs} for c, k in zip(count, sizes, strict=True)]
+
+    def rise(n, key, lang):
+        return np.log(2 * count[n][lang][key] + 1) + base[n][lang]
+
+    def word_score(w, lang):
+        if any(w in count[0][x] for x in langs):
+            return rise(0, w, lang)
+        run, found = f"^{w}$", []
+        for i in range(len(run)):
+            n = next((n for n in (4, 3, 2, 1) if len(run[i : i + n]) == n and any(run[i : i + n] in count[n][x] for x in langs)), None)
+            if n:
+                found.append(rise(n, run[i : i + n], lang))
+        return sum(found) / len(found) if found else 0.0
+
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in language_id.identify(docs, language_id.learn(frame(spark, learn))).collect()}
+    for i, t, *_ in rows:
+        w = words_of(t)
+        mean = np.array([sum(word_score(x, lang) for x in w) / len(w) for lang in langs])
+        share = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        assert got[i].lang_pred == langs[int(mean.argmax())] and abs(got[i].score - share.max()) < 1e-9, i
+
+
 def test_language_tables_are_bounded(spark):
     docs = frame(spark, documents(60))
     t = language_id.learn(docs, max_words=20, max_grams=10)
