@@ -164,6 +164,41 @@ def rhyme_letter_of(ends: Column) -> Column:
     return F.when(F.size(ends) >= 1, unified(F.right(F.get(ends, F.lit(0)), F.lit(1))))
 
 
+#: Letters, beside those with a name, that count as a letter on which lines rhyme; marks that stay in front of it.
+MORE_LETTERS = "ءأإآؤئةى"
+OPEN_MARKS = SUKUN + FATHA + KASRA + DAMMA
+
+
+def doubled_rhyme(ends: Column) -> Column:
+    """Rhyme of lines of which one ends in a letter behind a shadda; null for other lines.
+
+    It is the first two letters of the first word, marks and a ي or ا at the end
+    aside, if all words begin with them, else the last letter of the first word
+    that does not.
+    """
+    short = F.transform(ends, lambda w: F.regexp_replace(w, "[يا]$", ""))
+    doubled = F.exists(short, lambda w: (F.length(w) >= 2) & (F.substring(w, -2, 1) == SHADDA))
+    bare = F.filter(F.transform(short, strip_marks), lambda w: F.length(w) >= 2)
+    head = F.left(F.get(bare, F.lit(0)), F.lit(2))
+    odd = F.filter(bare, lambda w: F.left(w, F.lit(2)) != head)
+    return F.when((F.size(ends) >= 2) & doubled & (F.size(bare) >= 2), F.when(F.size(odd) == 0, head).otherwise(F.right(F.get(odd, F.lit(0)), F.lit(1))))
+
+
+def loose_rhyme(ends: Column) -> Column:
+    """Letter of lines whose last three letters hold no vowel and whose last letter but one differs; null for other lines.
+
+    A short vowel or sukun at the end of the first word stands in front of the letter.
+    """
+    long = F.filter(F.transform(ends, strip_marks), lambda w: F.length(w) >= 3)
+    kept = F.filter(F.transform(long, lambda w: F.regexp_replace(w, "[يا]$", "")), lambda w: F.length(w) >= 3)
+    vowel = F.exists(kept, lambda w: F.right(w, F.lit(3)).rlike("[ويا]"))
+    same = F.forall(kept, lambda w: F.substring(w, -2, 1) == F.substring(F.get(kept, F.lit(0)), -2, 1))
+    letter = F.right(F.get(kept, F.lit(0)), F.lit(1))
+    known = letter.rlike(f"^[{''.join(LETTER_NAMES)}{MORE_LETTERS}]$")
+    mark = F.regexp_extract(F.get(ends, F.lit(0)), f"[{OPEN_MARKS}]$", 0)
+    return F.when((F.size(ends) >= 2) & (F.size(long) >= 2) & (F.size(kept) >= 2) & ~vowel & ~same & known, F.concat(mark, unified(letter)))
+
+
 def letter_name(letter: Column) -> Column:
     return F.coalesce(_map(LETTER_NAMES)[letter], letter)
 

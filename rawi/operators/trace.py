@@ -28,6 +28,34 @@ def narrative(numbered: DataFrame, key: str, component: str, detail: str) -> Dat
     return rows.select(key, F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("narrative"))
 
 
+def _told(column: str):
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def story(numbered: DataFrame, key: str, name: str, given: str, made: str, why: str) -> DataFrame:
+    """Per execution: ``steps`` (four lines each), ``prompt``, ``constraints``, ``poem`` and ``quality``.
+
+    The prompt and the constraints are what the first step got and made; poem and
+    quality the last output that speaks of them.
+    """
+    lines = [F.lit("Step "), F.col("step").cast("string"), F.lit(": "), _told(name), F.lit("\nInput: "), _told(given), F.lit("\nOutput: "), _told(made), F.lit("\nReasoning: "), _told(why), F.lit("\n")]
+    last = lambda hit: F.max_by(F.when(hit, F.col(made)), F.when(hit, F.col("step")))
+    rows = numbered.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("step", F.concat(*lines).alias("block")))).alias("b"),
+        F.coalesce(F.min_by(given, "step"), F.lit("No user prompt available")).alias("prompt"),
+        F.coalesce(F.min_by(made, "step"), F.lit("No constraints available")).alias("constraints"),
+        F.coalesce(last(F.col(made).contains("poem")), F.lit("No poem generated")).alias("poem"),
+        F.coalesce(last(F.lower(made).contains("quality")), F.lit("No quality assessment")).alias("quality"),
+    )
+    return rows.withColumn("steps", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n")).drop("b")
+
+
+def exported(numbered: DataFrame, key: str, *fields: str) -> DataFrame:
+    """One JSON text per execution: its key as ``execution_id`` and its ``calls`` in the order of their steps."""
+    calls = F.array_sort(F.collect_list(F.struct("step", *fields))).alias("calls")
+    return numbered.groupBy(F.col(key).alias("execution_id")).agg(calls).select("execution_id", F.to_json(F.struct("execution_id", "calls"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def messages(turns: DataFrame, key: str, order: str, role: str, text: str) -> DataFrame:
     """Turns as an ordered array of (role, channel, content); the last assistant turn is on the final channel."""
     last = F.row_number().over(Window.partitionBy(key, role).orderBy(F.col(order).desc())) == 1
