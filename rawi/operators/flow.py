@@ -56,6 +56,16 @@ class Flow:
             df = node(df)
         return df
 
+    def names(self) -> list[str]:
+        return [name for name, _, _ in self.nodes]
+
+    def attempt(self, df: DataFrame, sink: Callable[[DataFrame], object]) -> dict:
+        """Runs the flow into ``sink``: whether it succeeded, what the sink returned, the error if any, and the nodes."""
+        try:
+            return {"success": True, "result": sink(self(df)), "error": None, "nodes": self.names()}
+        except Exception as e:  # noqa: BLE001 any failure is the answer
+            return {"success": False, "result": None, "error": f"{type(e).__name__}: {e}", "nodes": self.names()}
+
     def traced(self, df: DataFrame) -> tuple[DataFrame, list[dict]]:
         """The result and a record of each node: its step, name, planning time and columns."""
         trace = []

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rawi.functions import arabic as A
 from rawi.operators import requests as R
 from rawi.operators import trace as T
+from rawi.operators.flow import Flow
 from rawi.operators.providers import MockProvider, RuleProvider
 from rawi.sources.settings import settings
 
@@ -119,3 +120,11 @@ def test_settings():
     assert settings("", {}).data.enable_search is False
     with pytest.raises(ValueError, match="typo"):
         settings('{"data": {"typo": 1}}', {})
+
+
+def test_flows_tell_how_they_ended(spark):
+    flow = Flow().then("double", lambda d: d.withColumn("x", F.col("x") * 2), ("x",)).then("more", lambda d: d.withColumn("y", F.lit(1)))
+    rows = spark.createDataFrame([(1,)], "x int")
+    assert flow.attempt(rows, lambda d: d.first().x) == {"success": True, "result": 2, "error": None, "nodes": ["double", "more"]}
+    bad = flow.attempt(rows.select(F.col("x").alias("z")), lambda d: d.count())
+    assert (bad["success"], bad["result"], bad["error"]) == (False, None, "ValueError: double needs x")
