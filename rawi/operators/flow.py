@@ -83,9 +83,8 @@ def from_config(registry: Registry, configs: list[dict]) -> Flow:
     return flow
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """``df`` by way of a table in the folder of ``spark.checkpoint.dir``; a local master without that setting gets a folder."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession, kind: str = "flow") -> str:
+    """A new folder under ``spark.checkpoint.dir``; a local master without that setting gets one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -94,9 +93,14 @@ def shared(df: DataFrame) -> DataFrame:
 
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/flow-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """``df`` by way of a table in a folder that all executors share."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def refine(df: DataFrame, judge: Node, repair: Node, valid: Column, rounds: int = 3) -> DataFrame:

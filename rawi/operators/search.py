@@ -45,9 +45,14 @@ def hits(criteria: Criteria) -> list[Column]:
     return [attribute_hit(a, getattr(criteria, a)) for a in ATTRIBUTES if getattr(criteria, a)]
 
 
-def residual(criteria: Criteria) -> Column:
-    """Bounds, language, location and keywords."""
-    count, out = verse_count(F.col("verses")), F.lit(True)
+def corpus_text() -> Column:
+    """What keywords are looked up in: title, lines and description, lower-cased."""
+    return F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.array_join(F.coalesce("verses", F.array().cast("array<string>")), "\n"), F.coalesce("description", F.lit(""))))
+
+
+def residual(criteria: Criteria, n_verses: Column | None = None, body: Column | None = None) -> Column:
+    """Bounds, language, location and keywords; ``n_verses`` and ``body`` where a table holds them."""
+    count, out = verse_count(F.col("verses")) if n_verses is None else n_verses, F.lit(True)
     if criteria.min_verses:
         out = out & (count >= criteria.min_verses)
     if criteria.max_verses:
@@ -58,7 +63,7 @@ def residual(criteria: Criteria) -> Column:
     if criteria.poet_location:
         out = out & F.lower(F.coalesce("poet_location", F.lit(""))).contains(criteria.poet_location.lower())
     if criteria.keywords:
-        text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.array_join(F.coalesce("verses", F.array().cast("array<string>")), "\n"), F.coalesce("description", F.lit(""))))
+        text = corpus_text() if body is None else body
         found = [text.contains(k.lower()) for k in criteria.keywords]
         out = out & reduce((lambda a, b: a | b) if criteria.mode == "OR" else (lambda a, b: a & b), found)
     return out
