@@ -11,8 +11,9 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 Node = Callable[[DataFrame], DataFrame]
@@ -76,6 +77,62 @@ class Flow:
         return df, trace
 
 
+TRACE = "run string, step int, component string, status string, rows_in long, rows_out long, metrics map<string,double>, started timestamp, duration_ms long, error string"
+
+
+@dataclass
+class Captured:
+    """What a captured run gave: its result, or none where a node failed, and a row for each node."""
+
+    result: DataFrame | None
+    trace: DataFrame
+
+
+def captured(flow: Flow, df: DataFrame, run: str = "run", metrics: dict[str, str] | None = None) -> Captured:
+    """Runs a flow node by node and records what each node really did.
+
+    The output of a node is written to a shared table, from which the next one reads, so
+    the time and the error of a node are its own; rows and ``metrics`` (the aggregate of
+    each column, where a node's output has it) are observed while it is written.  After a
+    node that fails the others are told as skipped.
+    """
+    rows, at, told = [], df, None
+    for step, (name, node, needs) in enumerate(flow.nodes, 1):
+        if at is None:
+            rows.append((run, step, name, "skipped", None, None, None, None, None, None))
+            continue
+        began, clock = datetime.now(timezone.utc), time.monotonic()
+        seen, inside = Observation(), Observation()
+        try:
+            missing = [c for c in needs if c not in at.columns]
+            if missing:
+                raise ValueError(f"{name} needs {', '.join(missing)}")
+            made = node(at.observe(inside, F.count(F.lit(1)).alias("rows")) if told is None else at)
+            asked = {c: f for c, f in (metrics or {}).items() if c in made.columns}
+            at = shared(made.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.call_function(f, F.col(c)).cast("double").alias(f"of_{c}") for c, f in asked.items()]))
+            told = inside.get.get("rows") if told is None else told
+            found = seen.get
+            rows.append((run, step, name, "ok", told, found["rows"], {c: found[f"of_{c}"] for c in asked}, began, _since(clock), None))
+            told = found["rows"]
+        except Exception as e:  # noqa: BLE001 any failure is told
+            rows.append((run, step, name, "failed", told, None, None, began, _since(clock), f"{type(e).__name__}: {str(e).strip().splitlines()[0]}"))
+            at = None
+    return Captured(at, df.sparkSession.createDataFrame(rows, TRACE))
+
+
+def observed(flow: Flow, df: DataFrame) -> tuple[DataFrame, dict[str, Observation]]:
+    """The flow as one plan, with an observation of each node's rows that can be read once an action has run."""
+    seen = {}
+    for name, node, _ in flow.nodes:
+        seen[name] = Observation()
+        df = node(df).observe(seen[name], F.count(F.lit(1)).alias("rows"))
+    return df, seen
+
+
+def _since(clock: float) -> int:
+    return int((time.monotonic() - clock) * 1000)
+
+
 def from_config(registry: Registry, configs: list[dict]) -> Flow:
     flow = Flow()
     for c in configs:

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rawi.plans import answer_queries, corpus_queries, data_queries, flow_queries, index_queries, meter_queries, request_queries, rhyme_queries, verse_queries
+from rawi.plans import answer_queries, corpus_queries, data_queries, flow_queries, index_queries, meter_queries, request_queries, rhyme_queries, stream_queries, verse_queries
 
-MODULES = (corpus_queries, rhyme_queries, data_queries, verse_queries, flow_queries, meter_queries, answer_queries, request_queries, index_queries)
+MODULES = (corpus_queries, rhyme_queries, data_queries, verse_queries, flow_queries, meter_queries, answer_queries, request_queries, index_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
