@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rawi.functions import arabic as A
 from rawi.functions import display as D
+from rawi.functions import pages as P
 from rawi.functions import semi as J
 from rawi.functions import text as X
 from rawi.operators import curate as K
@@ -77,7 +78,7 @@ def response_verses(spark, sf_dir):
 
 
 def final_poems(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.regexp_replace(F.substring("text", 1, 60), "\\s+", " ").alias("t"))
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " ").alias("t"))
     said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("thought\n\nFinal Poem:\n"), "t", F.lit("\n\nbye"))).otherwise(F.col("t"))
     return d.select("doc_id", X.final_poem(said).alias("poem"))
 
@@ -99,7 +100,7 @@ def parity_messages(spark, sf_dir):
 
 
 def clarification_texts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.slice(F.split("text", "\n"), 1, 4).alias("a"))
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.split("text", "\n").alias("a"))
     return d.select("doc_id", F.md5(D.clarifications(F.col("a"), ["the", "que"])).alias("digest"))
 
 
@@ -137,15 +138,18 @@ def unified_letters(spark, sf_dir):
     return rows.groupBy("letter").agg(F.count("*").alias("n")).select("letter", A.unified(F.col("letter")).alias("as_letter"), A.letter_name(A.unified(F.col("letter"))).alias("name"), "n")
 
 
+def _searches(spark, sf_dir):
+    """A search per page, for its address without the scheme."""
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.regexp_replace("url", "^[a-z]+://", "").alias("query"))
+
+
 def web_results(spark, sf_dir):
     """Result rows of one search per page."""
-    asked = table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("query"))
-    return W.results(W.fetch(asked, W.MockSearch)).select("query_id", F.col("place").cast("long").alias("place"), "title", "url", F.col("total").cast("long").alias("total"))
+    return W.results(W.fetch(_searches(spark, sf_dir), W.MockSearch)).select("query_id", F.col("place").cast("long").alias("place"), "title", "url", F.col("total").cast("long").alias("total"))
 
 
 def web_listings(spark, sf_dir):
-    asked = table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("query"))
-    return W.listing(W.results(W.fetch(asked, W.MockSearch))).select("query_id", F.md5("text").alias("digest"))
+    return W.listing(W.results(W.fetch(_searches(spark, sf_dir), W.MockSearch))).select("query_id", F.md5("text").alias("digest"))
 
 
 def web_verdicts(spark, sf_dir):
@@ -155,6 +159,19 @@ def web_verdicts(spark, sf_dir):
     return W.worth_following(rows).select("event_id", F.col("result_index").cast("long").alias("result_index"), "relevance_score")
 
 
+def answer_pages(spark, sf_dir):
+    """Response and thinking of answer pages that are made from documents: every other line is thought, some tags are not closed or not opened."""
+    sign = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.translate(F.coalesce("text", F.lit("")), "\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u2028\u2029\xa0", "           "), "\n").alias("v"))
+    part = lambda k, tag: F.array_join(F.transform(F.filter("v", lambda x, i: i % 2 == k), lambda x: F.concat(F.lit(f"<{tag}>"), sign(x), F.lit(f"</{tag}>" if tag == "p" else "<br>"))), "")
+    thought = F.concat(F.lit('<div class="box thinking"><model-thoughts><div><div class=markdown><style>p{}</style>'), part(1, "p"), F.lit("<!-- </div> --><img src=x></div></div></model-thoughts></div></span>"))
+    shown = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit('<div class="model-response-text">')).otherwise(F.lit("<div>")), F.lit("<div class='markdown main'>"), part(0, "b"), F.lit("</b></div></i></div>"))
+    html = F.concat(F.lit('<html><body><div class="other">no</div><div class="response">'), thought, shown, F.lit("</div><div class=response>later"))
+    told = d.select("doc_id", P.answer_texts(html).alias("a"))
+    lines = lambda c: F.filter(F.split(c, "\n"), lambda x: x != "")
+    return told.select("doc_id", F.md5(F.array_join(lines(F.col("a.response")), "\n")).alias("response"), F.md5(F.array_join(lines(F.col("a.thinking")), "\n")).alias("thinking"))
+
+
 def chosen_answers(spark, sf_dir):
     """Documents by provider and model, and those with thoughts."""
     d = table(spark, sf_dir, "documents").select("source", "lang", "text", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("thoughts"))
@@ -210,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         retrieval_exact, retrieval_best, flattened_scores, all_metrics_valid, balanced_json, answer_shapes, judge_fallback, response_verses, final_poems, cleaned_contents, rendered_templates, parity_messages,
-        clarification_texts, narrative_texts, candidate_listings, marked_words, unified_letters, web_results, web_listings, web_verdicts, chosen_answers, batch_ids, entries_by_poem, distinct_items, resumed_results,
+        clarification_texts, narrative_texts, candidate_listings, marked_words, unified_letters, web_results, web_listings, web_verdicts, answer_pages, chosen_answers, batch_ids, entries_by_poem, distinct_items, resumed_results,
         batch_success, generated_records, error_results, known_models,
     )
 }
@@ -224,6 +241,7 @@ _UNIFIED = "CASE WHEN letter IN ('أ', 'إ', 'ؤ', 'ئ', 'آ') THEN 'ء' WHEN le
 _LETTER = """CASE as_letter WHEN 'ا' THEN 'الألف' WHEN 'ب' THEN 'الباء' WHEN 'ت' THEN 'التاء' WHEN 'ث' THEN 'الثاء' WHEN 'ج' THEN 'الجيم' WHEN 'ح' THEN 'الحاء' WHEN 'خ' THEN 'الخاء' WHEN 'د' THEN 'الدال' WHEN 'ذ' THEN 'الذال' WHEN 'ر' THEN 'الراء'
   WHEN 'ز' THEN 'الزاي' WHEN 'س' THEN 'السين' WHEN 'ش' THEN 'الشين' WHEN 'ص' THEN 'الصاد' WHEN 'ض' THEN 'الضاد' WHEN 'ك' THEN 'الكاف' WHEN 'ه' THEN 'الهاء' WHEN 'ي' THEN 'الياء' ELSE as_letter END"""
 _METRIC = "l_discount * 100 BETWEEN 0 AND 3"
+_ASKED = "(SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS q FROM pages) WHERE q <> ''"
 SQL = {
     "retrieval_exact": f"WITH {CORPUS} SELECT poem_idx, meter, theme FROM corpus WHERE contains(meter, 'en') AND contains(theme, 'praise') ORDER BY poem_idx LIMIT 40",
     "retrieval_best": f"WITH {CORPUS} SELECT poem_idx, meter, theme FROM corpus WHERE contains(meter, 'fr') OR contains(theme, 'satire') ORDER BY poem_idx LIMIT 40",
@@ -233,19 +251,22 @@ SQL = {
     "answer_shapes": "SELECT event_id % 5 <> 0 AS complete, event_id % 3 = 1 AS lists, count(*) AS n FROM events GROUP BY ALL",
     "judge_fallback": "SELECT event_id % 4 IN (0, 2) AS valid, count(*) AS n FROM events GROUP BY 1",
     "response_verses": f"SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN len(string_split(text, chr(10))) ELSE len(list_filter(string_split(regexp_replace(text, '[{{}}]', '', 'g'), chr(10)), lambda x: trim(x) <> '')) END AS n FROM documents WHERE text IS NOT NULL",
-    "final_poems": r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) END AS poem FROM documents WHERE text IS NOT NULL",
+    "final_poems": r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) END AS poem FROM documents WHERE text IS NOT NULL",
     "cleaned_contents": r"SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, '`', '') || repeat(chr(10), 4) || 'end', '^[ \t\n\r]+', ''), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents WHERE text IS NOT NULL",
     "rendered_templates": "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN coalesce(source, '') || ' writes ' || coalesce(lang, '') || ', ' || coalesce(source, '') END AS said FROM documents",
     "parity_messages": f"SELECT CASE WHEN k % 2 = 0 THEN 'even: ' || CAST(k // 2 AS VARCHAR) || ' pairs' ELSE 'odd: ' || CAST(k AS VARCHAR) || ' lines' END AS said, count(*) AS n FROM (SELECT {_N} AS k FROM documents) GROUP BY 1",
-    "clarification_texts": "SELECT doc_id, CASE WHEN len(h) > 0 THEN md5(array_to_string(list_transform(h, lambda x: '- ' || x), chr(10))) END AS digest FROM (SELECT doc_id, list_filter(string_split(text, chr(10))[1:4], lambda x: contains(x, 'the') OR contains(x, 'que')) AS h FROM documents WHERE text IS NOT NULL)",
+    "clarification_texts": "SELECT doc_id, CASE WHEN len(h) > 0 THEN md5(array_to_string(list_transform(h, lambda x: '- ' || x), chr(10))) END AS digest FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, 'the') OR contains(x, 'que')) AS h FROM documents WHERE text IS NOT NULL)",
     "narrative_texts": "SELECT event_id, event_type || chr(10) || 'next' || CASE WHEN event_id % 2 = 0 THEN chr(10) || CAST(event_id AS VARCHAR) ELSE '' END AS said FROM events",
     "candidate_listings": "SELECT l_orderkey, md5(string_agg('Candidate ' || CAST(r AS VARCHAR) || ':' || chr(10) || CAST(l_partkey AS VARCHAR), chr(10) || chr(10) ORDER BY r)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem) GROUP BY l_orderkey",
     "marked_words": f"""WITH {_MARKED} SELECT count(*) AS n, CAST(sum(length(w)) AS BIGINT) AS marked, CAST(sum(length(bare)) AS BIGINT) AS bare, CAST(sum(length(replace(w, chr(1600), ''))) AS BIGINT) AS short, CAST(sum(length(trim(plain))) AS BIGINT) AS plain,
       CAST(sum(CASE WHEN trim(plain) = '' THEN 1 ELSE 0 END) AS BIGINT) AS none, CAST(sum(length(w) + 1) AS BIGINT) AS one_vowel FROM forms""",
     "unified_letters": f"SELECT letter, as_letter, {_LETTER} AS name, n FROM (SELECT letter, {_UNIFIED} AS as_letter, count(*) AS n FROM (SELECT {_LAST} AS letter FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY letter)",
-    "web_results": "SELECT page_id AS query_id, CAST(0 AS BIGINT) AS place, 'About page ' || CAST(page_id AS VARCHAR) AS title, 'https://example.org/?q=page ' || CAST(page_id AS VARCHAR) AS url, CAST(1 AS BIGINT) AS total FROM pages",
-    "web_listings": "SELECT page_id AS query_id, md5('1. About page ' || CAST(page_id AS VARCHAR) || chr(10) || 'https://example.org/?q=page ' || CAST(page_id AS VARCHAR) || chr(10) || 'page ' || CAST(page_id AS VARCHAR)) AS digest FROM pages",
+    "web_results": f"SELECT page_id AS query_id, CAST(0 AS BIGINT) AS place, 'About ' || q AS title, 'https://example.org/?q=' || q AS url, CAST(1 AS BIGINT) AS total FROM {_ASKED}",
+    "web_listings": f"SELECT page_id AS query_id, md5('1. About ' || q || chr(10) || 'https://example.org/?q=' || q || chr(10) || q) AS digest FROM {_ASKED}",
     "web_verdicts": "SELECT event_id, CAST(0 AS BIGINT) AS result_index, CAST(floor(value % 11) AS DOUBLE) AS relevance_score FROM events WHERE floor(value % 11) >= 7",
+    "answer_pages": """SELECT doc_id, md5(array_to_string(list_filter(list_transform(list_filter(v, lambda x, i: i % 2 = 1), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> ''), chr(10))) AS response,
+      md5(array_to_string(list_filter(list_transform(list_filter(v, lambda x, i: i % 2 = 0), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> ''), chr(10))) AS thinking
+      FROM (SELECT doc_id, string_split(translate(coalesce(text, ''), chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(8232) || chr(8233) || chr(160), '           '), chr(10)) AS v FROM documents)""",
     "chosen_answers": "SELECT lang, CAST(sum(CASE WHEN lang = 'en' AND contains(source, 'c1') AND trim(coalesce(text, '')) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS chosen, CAST(sum(CASE WHEN contains(source, 'src1') AND doc_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS thoughtful FROM documents GROUP BY lang",
     "batch_ids": "SELECT o_orderstatus, count(*) AS n, min('batch_' || CAST(o_orderkey AS VARCHAR)) AS first FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_orderstatus",
     "entries_by_poem": "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS entries FROM lineitem GROUP BY l_orderkey",
