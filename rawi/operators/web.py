@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rawi.functions.text import strip
+from rawi.operators.flow import shared
 
 
 class Search(Protocol):
@@ -77,3 +80,66 @@ def distinct_results(found: DataFrame) -> DataFrame:
     """The first row of each url by query and place."""
     place = F.row_number().over(Window.partitionBy("url").orderBy("query_id", "place"))
     return found.withColumn("_n", place).filter("_n = 1").drop("_n")
+
+
+class RuleSearch:
+    """Results by a function of the query: a list of (title, link, snippet)."""
+
+    def __init__(self, rule: Callable[[str], list[tuple[str, str, str]]]):
+        self.rule = rule
+
+    def search(self, query: str, n: int) -> str:
+        import json
+
+        return json.dumps({"organic_results": [{"title": t, "link": u, "snippet": s} for t, u, s in self.rule(query)[:n]]})
+
+
+@dataclass
+class Rounds:
+    """Results worth following, and a row for each request and round: queries, results and those that were kept."""
+
+    kept: DataFrame
+    summary: DataFrame
+
+
+def rounds(requests: DataFrame, key: str, ask: Callable[[DataFrame, int], DataFrame], make: Callable[[], Search], judge: Callable[[DataFrame], DataFrame], max_rounds: int = 1, max_queries: int = 5, per_query: int = 3, least: float = 7) -> Rounds:
+    """Searches for each request, round after round, until nothing more is asked for.
+
+    ``ask(frontier, round)`` gives (key, query_no, query) of the requests that are still
+    open; the first ``max_queries`` of each are searched.  A url counts for a request
+    once: those of earlier rounds are taken out by an anti-join.  ``judge(found)`` gives
+    (key, result_index, relevance_score, is_worth_following, followup_needed) for rows
+    (key, result_index, title, url, snippet).  A request stays open if it had results
+    and one of its verdicts asks for more.  Frontier, seen urls and results of a round
+    are written tables, so the plan of a round does not hold the rounds before it.
+    """
+    kind = requests.schema[key].dataType.simpleString()
+    spark = requests.sparkSession
+    kept, told = [], []
+    frontier = shared(requests)
+    seen = spark.createDataFrame([], f"{key} {kind}, url string")
+    for number in range(1, max_rounds + 1):
+        if frontier.isEmpty():
+            break
+        place = F.row_number().over(Window.partitionBy(key).orderBy("query_no"))
+        asked = ask(frontier, number).filter("query IS NOT NULL").withColumn("nth", place).filter(F.col("nth") <= max_queries)
+        asked = shared(asked.select(key, "query_no", "query").withColumn("query_id", F.monotonically_increasing_id()))
+        hits = results(fetch(asked.select("query_id", "query"), make, per_query), per_query).select("query_id", "place", "title", "url", "snippet")
+        hits = asked.select("query_id", key, "query_no").join(hits, "query_id")
+        first = Window.partitionBy(key, "url").orderBy("query_no", "place")
+        new = hits.withColumn("nth", F.row_number().over(first)).filter("nth = 1").join(seen, [key, "url"], "left_anti")
+        index = F.row_number().over(Window.partitionBy(key).orderBy("query_no", "place")) - 1
+        found = shared(new.select(key, index.alias("result_index"), "title", "url", "snippet", F.lit(number).alias("round")))
+        judged = shared(judge(found.drop("round")).select(key, "result_index", "relevance_score", "is_worth_following", "followup_needed"))
+        good = judged.filter(F.coalesce("is_worth_following", F.lit(False)) & (F.col("relevance_score") >= least)).select(key, "result_index", "relevance_score")
+        good = good.groupBy(key, "result_index").agg(F.max("relevance_score").alias("relevance_score"))
+        kept.append(shared(found.join(good, [key, "result_index"])))
+        counts = [frontier.select(key)] + [df.groupBy(key).agg(F.count("*").alias(name)) for df, name in ((asked, "n_queries"), (found, "n_found"), (kept[-1], "n_kept"))]
+        row = reduce(lambda a, b: a.join(b, key, "left"), counts)
+        told.append(shared(row.select(key, F.lit(number).alias("round"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_queries", "n_found", "n_kept")])))
+        more = judged.groupBy(key).agg(F.bool_or(F.coalesce("followup_needed", F.lit(False))).alias("more")).filter("more").select(key)
+        seen = shared(seen.unionByName(found.select(key, "url")))
+        frontier = shared(frontier.join(more, key, "left_semi"))
+    if not told:
+        return Rounds(spark.createDataFrame([], f"{key} {kind}, result_index int, title string, url string, snippet string, round int, relevance_score double"), spark.createDataFrame([], f"{key} {kind}, round int, n_queries long, n_found long, n_kept long"))
+    return Rounds(reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, told))

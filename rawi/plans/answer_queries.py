@@ -159,6 +159,31 @@ def web_verdicts(spark, sf_dir):
     return W.worth_following(rows).select("event_id", F.col("result_index").cast("long").alias("result_index"), "relevance_score")
 
 
+def _told_results(query):
+    """Four addresses by the digest of a query, some of them the same for other queries."""
+    import hashlib
+
+    places = [int(hashlib.md5(f"{query}#{i}".encode()).hexdigest()[:4], 16) % 60 for i in range(4)]
+    return [(f"On {query}", f"https://example.org/{p}", f"place {p}") for p in places]
+
+
+def web_rounds(spark, sf_dir):
+    """Up to three rounds of searches for each page, by the words of its address; the judge goes by the digest of page and result."""
+
+    def ask(frontier, number):
+        words = F.filter(F.split("url", "[^A-Za-z0-9]+"), lambda w: w != "")
+        said = frontier.select("page_id", F.posexplode(F.array_distinct(words)).alias("query_no", "word"))
+        return said.select("page_id", "query_no", F.when(F.lit(number) == 1, F.col("word")).otherwise(F.concat("word", F.lit(f" {number}"))).alias("query"))
+
+    def judge(found):
+        score = F.conv(F.substring(F.md5(F.concat_ws("|", "page_id", "url")), 1, 4), 16, 10).cast("long") % 11
+        return found.withColumns({"relevance_score": score.cast("double"), "is_worth_following": score % 2 == 1, "followup_needed": score == 10})
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    kept = W.rounds(pages, "page_id", ask, lambda: W.RuleSearch(_told_results), judge, max_rounds=3, max_queries=4).kept
+    return kept.select("page_id", F.col("round").cast("long").alias("round"), F.col("result_index").cast("long").alias("result_index"), "title", "url", "relevance_score")
+
+
 def answer_pages(spark, sf_dir):
     """Response and thinking of answer pages that are made from documents: every other line is thought, some tags are not closed or not opened."""
     sign = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
@@ -227,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         retrieval_exact, retrieval_best, flattened_scores, all_metrics_valid, balanced_json, answer_shapes, judge_fallback, response_verses, final_poems, cleaned_contents, rendered_templates, parity_messages,
-        clarification_texts, narrative_texts, candidate_listings, marked_words, unified_letters, web_results, web_listings, web_verdicts, answer_pages, chosen_answers, batch_ids, entries_by_poem, distinct_items, resumed_results,
+        clarification_texts, narrative_texts, candidate_listings, marked_words, unified_letters, web_results, web_listings, web_verdicts, web_rounds, answer_pages, chosen_answers, batch_ids, entries_by_poem, distinct_items, resumed_results,
         batch_success, generated_records, error_results, known_models,
     )
 }
@@ -264,6 +289,25 @@ SQL = {
     "web_results": f"SELECT page_id AS query_id, CAST(0 AS BIGINT) AS place, 'About ' || q AS title, 'https://example.org/?q=' || q AS url, CAST(1 AS BIGINT) AS total FROM {_ASKED}",
     "web_listings": f"SELECT page_id AS query_id, md5('1. About ' || q || chr(10) || 'https://example.org/?q=' || q || chr(10) || q) AS digest FROM {_ASKED}",
     "web_verdicts": "SELECT event_id, CAST(0 AS BIGINT) AS result_index, CAST(floor(value % 11) AS DOUBLE) AS relevance_score FROM events WHERE floor(value % 11) >= 7",
+    "web_rounds": """WITH split AS (SELECT page_id, list_filter(string_split_regex(url, '[^A-Za-z0-9]+'), lambda w: w <> '') AS v FROM pages), flat AS (SELECT page_id, unnest(v) AS word, unnest(range(0, len(v))) AS spot FROM split),
+words AS (SELECT page_id, word, row_number() OVER (PARTITION BY page_id ORDER BY min(spot)) AS n FROM flat GROUP BY page_id, word),
+q1 AS (SELECT page_id, n AS query_no, word AS query FROM words WHERE n <= 4 AND page_id IN (SELECT page_id FROM pages)),
+h1 AS (SELECT page_id, query_no, i AS place, 'On ' || query AS title, 'https://example.org/' || CAST(CAST('0x' || substr(md5(query || '#' || CAST(i AS VARCHAR)), 1, 4) AS BIGINT) % 60 AS VARCHAR) AS url FROM q1, range(0, 3) r(i)),
+f1 AS (SELECT * FROM h1 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY query_no, place) = 1),
+n1 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY query_no, place) - 1 AS result_index, CAST('0x' || substr(md5(CAST(page_id AS VARCHAR) || '|' || url), 1, 4) AS BIGINT) % 11 AS score, 1 AS round
+  FROM f1 WHERE true),
+q2 AS (SELECT page_id, n AS query_no, word || ' 2' AS query FROM words WHERE n <= 4 AND page_id IN (SELECT page_id FROM n1 WHERE score = 10)),
+h2 AS (SELECT page_id, query_no, i AS place, 'On ' || query AS title, 'https://example.org/' || CAST(CAST('0x' || substr(md5(query || '#' || CAST(i AS VARCHAR)), 1, 4) AS BIGINT) % 60 AS VARCHAR) AS url FROM q2, range(0, 3) r(i)),
+f2 AS (SELECT * FROM h2 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY query_no, place) = 1),
+n2 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY query_no, place) - 1 AS result_index, CAST('0x' || substr(md5(CAST(page_id AS VARCHAR) || '|' || url), 1, 4) AS BIGINT) % 11 AS score, 2 AS round
+  FROM f2 WHERE (page_id, url) NOT IN (SELECT (page_id, url) FROM n1)),
+q3 AS (SELECT page_id, n AS query_no, word || ' 3' AS query FROM words WHERE n <= 4 AND page_id IN (SELECT page_id FROM n2 WHERE score = 10)),
+h3 AS (SELECT page_id, query_no, i AS place, 'On ' || query AS title, 'https://example.org/' || CAST(CAST('0x' || substr(md5(query || '#' || CAST(i AS VARCHAR)), 1, 4) AS BIGINT) % 60 AS VARCHAR) AS url FROM q3, range(0, 3) r(i)),
+f3 AS (SELECT * FROM h3 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY query_no, place) = 1),
+n3 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY query_no, place) - 1 AS result_index, CAST('0x' || substr(md5(CAST(page_id AS VARCHAR) || '|' || url), 1, 4) AS BIGINT) % 11 AS score, 3 AS round
+  FROM f3 WHERE (page_id, url) NOT IN (SELECT (page_id, url) FROM n1 UNION ALL SELECT (page_id, url) FROM n2))
+SELECT page_id, CAST(round AS BIGINT) AS round, CAST(result_index AS BIGINT) AS result_index, title, url, CAST(score AS DOUBLE) AS relevance_score
+FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM n3) WHERE score >= 7 AND score % 2 = 1""",
     "answer_pages": """SELECT doc_id, md5(array_to_string(list_filter(list_transform(list_filter(v, lambda x, i: i % 2 = 1), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> ''), chr(10))) AS response,
       md5(array_to_string(list_filter(list_transform(list_filter(v, lambda x, i: i % 2 = 0), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> ''), chr(10))) AS thinking
       FROM (SELECT doc_id, string_split(translate(coalesce(text, ''), chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(8232) || chr(8233) || chr(160), '           '), chr(10)) AS v FROM documents)""",
