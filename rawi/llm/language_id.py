@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, size_of, slices, table, written
+from .common import fresh, map_batches, size_of, slices, table, written
 from .wordstream import LETTERS, Shelf, Words, mix, window_hashes
 
 LONGEST = 4
@@ -372,7 +372,9 @@ def in_known_language(docs: DataFrame, learned: Learned, least: float = 0.4, sma
     rows = _rows(docs.select(*named, text.alias("text")), shared, ["_h", "_g"])
     gone = written(_told(rows, learned, shared, ["_h", "_g"]).filter((F.col("lang_pred") == "und") | ~(F.col("score") >= least)).select("_h", "_g").distinct())
     gone = F.broadcast(gone) if size_of(gone, small) <= small else gone
-    return docs.select(*docs.columns, *named).join(gone, ["_h", "_g"], "left_anti").select(*docs.columns)
+    h, g = fresh(docs, "_h", "_g")
+    marked = docs.withColumns({h: named[0], g: named[1]})
+    return marked.join(gone.withColumnsRenamed({"_h": h, "_g": g}), [h, g], "left_anti").drop(h, g)
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:

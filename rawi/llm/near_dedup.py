@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import map_batches, size_of, slices, table, written
+from .common import fresh, map_batches, size_of, slices, table, written
 from .components import components
 from .wordstream import PLAIN, Words, mix, text_bytes, window_hashes
 
@@ -341,7 +341,8 @@ def near_classes(docs: DataFrame, **options) -> DataFrame:
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One row of each class: of its smallest id, and of rows that share this id any one.
 
-    Rows of one id may be of different classes; rows without an id all stay.
+    Rows of one id may be of different classes; rows without an id all stay.  All
+    columns of ``docs`` are kept, whatever their names.
     """
     found = written(_classes(docs, **options))
     gone = written(found.filter("doc_id <> class_id").select("doc_id").distinct())
@@ -351,6 +352,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
         return once
     once = once.join(_sent(many), "doc_id", "left_anti")
     shared = docs.join(_sent(many), "doc_id", "left_semi")
+    tid, own, label = fresh(docs, "_tid", "_id", "_label")
 
     def named(batches):
         import pyarrow as pa
@@ -358,11 +360,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 tids = pa.array([text_id(t) for t in text_bytes(part.column("text").to_pylist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, tids], names=[*part.schema.names, "_tid"])
+                yield pa.RecordBatch.from_arrays([*part.columns, tids], names=[*part.schema.names, tid])
 
-    shared = shared.mapInArrow(named, StructType([*docs.schema.fields, StructField("_tid", BinaryType())]))
-    kept = found.filter("doc_id = class_id").join(many, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"), F.col("label").alias("_label")).distinct()
-    shared = shared.join(kept, (shared["doc_id"] == kept["_id"]) & (shared["_tid"] == kept["_tid"])).drop("_tid").dropDuplicates(["doc_id", "_label"])
+    shared = shared.mapInArrow(named, StructType([*docs.schema.fields, StructField(tid, BinaryType())]))
+    kept = found.filter("doc_id = class_id").join(many, "doc_id", "left_semi").select(F.col("doc_id").alias(own), F.col("tid").alias(tid), F.col("label").alias(label)).distinct()
+    shared = shared.join(kept, (shared["doc_id"] == kept[own]) & (shared[tid] == kept[tid])).drop(tid).dropDuplicates(["doc_id", label])
     return once.unionByName(shared.select(*docs.columns))
 
 

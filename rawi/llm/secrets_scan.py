@@ -6,10 +6,11 @@ bound are merged (red and blue states, a state's own parent is tried first, so
 random tails become loops while literal prefixes stay chains).  The result is a
 probabilistic automaton.  Candidates are the maximal runs of credential
 characters, less what base spans cover and less ``.``, ``-`` and ``=`` at their
-ends, that are at least as long as the shortest labelled credential (or
+ends, of 12 characters or more (fewer, if a labelled credential is shorter, or
 ``min_length``).  Every candidate is scored: its mean log-likelihood per
-character under the best automaton minus that under a character-class chain of
-ordinary strings; above ``cut`` it is reported as ``learned``.
+character under the best automaton minus that of ordinary strings (the better of a
+character-class chain and of automata of ordinary formats: record ids, digests, made
+names); above ``cut`` it is reported as ``learned``.
 
 Base patterns: ``assign`` (a keyword, a separator and a value of 6 or more
 characters), ``access`` (AKIA and capitals or digits, 20 or more characters) and
@@ -41,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, slices, table
 from .wordstream import text_bytes
 
+#: Characters from which on a run is scored, if no labelled credential is shorter.
+SHORTEST = 12
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -70,12 +73,33 @@ Mississippi Constantinople Bibliothekswesen desarrollo responsabilidad gouvernem
 and/or either/or his/her 3.14159265358979 100.000.000 x=y+z a=b+c-d end-of-document line-by-line""".split())
 
 
+#: Formats of ordinary strings that look random: identifiers of records and digests.
+PLAIN_FORMATS = {
+    "ordinary-uuid": tuple(p for k in (8, 4, 4, 4, 12) for p in (("-",), (_DIGIT + "abcdef", k)))[1:],
+    "ordinary-uuid-capital": tuple(p for k in (8, 4, 4, 4, 12) for p in (("-",), (_DIGIT + "ABCDEF", k)))[1:],
+    "ordinary-digest": ((_DIGIT + "ABCDEF", 40),),
+    "ordinary-number": ((_DIGIT, 24),),
+}
+#: Parts of made identifiers.
+NAME_PARTS = "get set user item list count name value index start end file path load save make find data type map key node text line page order date time total first last size state event handler manager builder factory request response".split()
+
+
+def made_name(rng: random.Random) -> str:
+    """An identifier of three to six words, joined as programs and addresses do."""
+    words = [rng.choice(NAME_PARTS) for _ in range(rng.randint(3, 6))]
+    style = rng.randrange(4)
+    if style == 0:
+        return words[0] + "".join(w.capitalize() for w in words[1:])
+    return ("".join(w.capitalize() for w in words), "_".join(words), "-".join(words))[style - 1]
+
+
 def default_labelled(per_kind: int = 40, seed: int = 5) -> list[tuple[str, str]]:
-    """(value, kind) rows made from ``FORMATS``; ordinary strings have the kind ``ordinary``."""
+    """(value, kind) rows made from ``FORMATS``; ordinary strings have kinds that begin with ``ordinary``."""
     rng, out = random.Random(seed), []
-    for kind, parts in FORMATS.items():
+    for kind, parts in (FORMATS | PLAIN_FORMATS).items():
         for _ in range(per_kind):
             out.append(("".join(p[0] if len(p) == 1 else "".join(rng.choice(p[0]) for _ in range(p[1])) for p in parts), kind))
+    out += [(made_name(rng), "ordinary-name") for _ in range(4 * per_kind)]
     return out + [(x, "ordinary") for x in ORDINARY]
 
 
@@ -167,6 +191,7 @@ class Automaton:
                 if self._compatible(other, blue):
                     self.next[state][c] = other
                     self._fold(other, blue)
+                    at = 0  # the fold may have given a state before this one a branch that is not settled
                     break
             else:
                 red.append(blue)
@@ -229,20 +254,23 @@ class Ordinary:
 
 
 class Formats:
-    """The automata of all labelled kinds and the chain of ordinary strings."""
+    """The automata of all labelled kinds, and the chain and automata of ordinary strings."""
 
     def __init__(self, labelled: list[tuple[str, str]]):
         kinds = defaultdict(list)
         for value, kind in labelled:
             kinds[kind].append(value)
         self.ordinary = Ordinary(kinds.pop("ordinary", []))
+        plain = {kind: kinds.pop(kind) for kind in sorted(kinds) if kind.startswith("ordinary-")}
+        self.plain = [Automaton(v) for v in plain.values()]
         self.automata = [Automaton(v) for _, v in sorted(kinds.items())]
         self.shortest = min((len(v) for values in kinds.values() for v in values), default=1)
 
     def score(self, text: str) -> float:
         if not self.automata:
             return -math.inf
-        return (max(a.score(text) for a in self.automata) - self.ordinary.score(text)) / len(text)
+        told = max(a.score(text) for a in self.automata)
+        return (told - max([self.ordinary.score(text), *(a.score(text) for a in self.plain)])) / len(text)
 
 
 @lru_cache(maxsize=1)
@@ -266,7 +294,7 @@ def _stretches(member: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 def spans_of(texts: list[bytes], formats: Formats, cut: float, min_length: int | None = None) -> list[list[tuple[int, int, int]]]:
     """(start, kind number, end) of every span of each text, in order, in code points."""
-    least = min_length or formats.shortest
+    least = min_length or min(formats.shortest, SHORTEST)
     raw = b"\n".join(texts) + b"\n"
     buf = np.frombuffer(raw, dtype=np.uint8)
     begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
@@ -320,7 +348,7 @@ def _model(docs: DataFrame, labelled: DataFrame | None, max_labelled: int):
     return docs.sparkSession.sparkContext.broadcast(formats)
 
 
-def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, cut: float = 0.5, min_length: int | None = None, max_labelled: int = 5_000) -> DataFrame:
+def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, cut: float = 0.3, min_length: int | None = None, max_labelled: int = 5_000) -> DataFrame:
     """doc_id and ``found`` (kind, start, end) for each row of ``docs``.
 
     ``labelled`` has value and kind; at most ``max_labelled`` of its distinct rows
@@ -337,7 +365,7 @@ def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, cut: float
     return map_batches(docs, fn, "doc_id long, found array<struct<kind:string,start:int,end:int>>")
 
 
-def mask_secrets(docs: DataFrame, labelled: DataFrame | None = None, mask: str = "[SECRET]", cut: float = 0.5, min_length: int | None = None, max_labelled: int = 5_000) -> DataFrame:
+def mask_secrets(docs: DataFrame, labelled: DataFrame | None = None, mask: str = "[SECRET]", cut: float = 0.3, min_length: int | None = None, max_labelled: int = 5_000) -> DataFrame:
     """``docs`` with the spans of each text masked; ``n_chars``, where there is one, follows the new text."""
     model = _model(docs, labelled, max_labelled)
     names = docs.columns

@@ -15,7 +15,7 @@ totals of those ranges, so no source is sorted by one task.  The one ungrouped
 window runs over a row per source.
 
 Results on odd input.  Null texts have size 0 and null sources form a source of
-their own.  A null id draws a fixed key.  Repeated ids share their key and are
+their own.  A null id draws its key by its text.  Repeated ids share their key and are
 taken in order of size; unknown quality weighs 1.  An empty table gives no rows.
 A source without words has target 0.  Extra columns are ignored by
 ``mix_sources`` and kept by ``mixed``.
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import size_of, table, words_of, written
+from .common import fresh, size_of, table, words_of, written
 
 #: Key ranges of a source that are summed apart.
 RANGES = 4096
@@ -76,7 +76,9 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, cycle=(3, 1,
     rows of one id and size, after a hash of their texts.
     """
     own, ties = ([row], [F.xxhash64("text").alias("tie")]) if row else ([], [])
-    sized = written(docs.select(*own, *ties, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of().alias("size")))
+    # rows without an id would all draw one key, and so all lie in one range
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    sized = written(docs.select(*own, *ties, name.alias("name"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of().alias("size")))
     targets = source_targets(sized, cycle, budget, max_epochs)
     keyed = sized
     if quality is not None:
@@ -84,7 +86,7 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, cycle=(3, 1,
         keyed = keyed.join(weights, "doc_id", "left")
     else:
         keyed = keyed.withColumn("weight", F.lit(1.0))
-    key = -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce("weight", F.lit(1.0))
+    key = -F.log(uniform(F.col("name"), seed)) / F.coalesce("weight", F.lit(1.0))
     keyed = keyed.withColumn("key", key).withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
     other = targets.withColumnRenamed("source", "named")
     keyed = keyed.join(other, F.col("source").eqNullSafe(F.col("named"))).drop("named", "weight")
@@ -107,11 +109,20 @@ def label_weights(labels: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
-    """The rows that the mix takes, once each, with ``copies`` and ``taken``; null and repeated ids are rows of their own."""
-    docs = written(docs.drop("copies", "taken").withColumn("_row", F.monotonically_increasing_id()))
-    takes = written(mix_sources(docs, quality, row="_row", **options).filter("copies > 0").select("_row", "copies", "taken"))
+    """The rows that the mix takes, once each, with ``copies`` and ``taken``; null and repeated ids are rows of their own.
+
+    All columns of ``docs`` are kept; one that is named ``copies`` or ``taken`` itself
+    gets an underscore after its name (more, if that is taken too).
+    """
+    for name in [c for c in docs.columns if c.lower() in ("copies", "taken")]:
+        docs = docs.withColumnRenamed(name, fresh(docs, name)[0])
+    (row,) = fresh(docs, "_row")
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    needed = docs.select("doc_id", "source", "text", F.col(row).alias("_row"))
+    takes = mix_sources(needed, quality, row="_row", **options).filter("copies > 0")
+    takes = written(takes.select(F.col("_row").alias(row), "copies", "taken"))
     takes = F.broadcast(takes) if size_of(takes, BROADCAST_TAKES) <= BROADCAST_TAKES else takes
-    return docs.join(takes, "_row").drop("_row")
+    return docs.join(takes, row).drop(row)
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,6 +269,29 @@ def test_mixed_keeps_null_and_repeated_ids(spark):
     assert Counter(map(key, again)) == Counter(map(key, got))
 
 
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """Columns that are named as those that stages use inside stay, with their values."""
+    rows = [(i % 40 if i % 9 else None, t, lang, s, n) for i, t, lang, s, n in documents(80)] + odd_rows()
+    inside = ["_h", "_g", "_tid", "_id", "_label", "_row", "copies", "taken", "copies_", "name", "tie"]
+    df = frame(spark, rows).withColumns({c: F.lit(f"own {c}") for c in inside})
+    spark.createDataFrame([(1, "zz " * 40)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = df
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        names = {"copies": "copies__", "taken": "taken_"} if name == "mix" else {}
+        assert sorted(docs.columns) == sorted([*(names.get(c, c) for c in df.columns), *names]), name
+        got = docs.collect()
+        assert got and all(r[names.get(c, c)] == f"own {c}" for r in got for c in inside), name
+    assert all(isinstance(r.copies, int) and r.taken >= 0 for r in got)
+
+
+def test_null_ids_do_not_share_a_key(spark):
+    rows = [(None, f"w{i} " * 5, "en", "a", 0) for i in range(400)] + [(i, "x " * 5, "en", "a", 0) for i in range(400)]
+    got = source_mix.mix_sources(frame(spark, rows), budget=0.5).filter("doc_id IS NULL").agg(F.sum("taken")).first()[0]
+    assert 700 <= got <= 1300
+
+
 def test_token_counts(spark):
     tiktoken = pytest.importorskip("tiktoken")
     if not Path(token_counts.TOKENIZERS).exists():

@@ -405,3 +405,34 @@ def test_own_labels(spark, table):
     docs = spark.createDataFrame([(1, "x zz-12345678-87654321 y some-ordinary-word-here", "en", "s", 0)], SCHEMA)
     r = secrets_scan.find_secrets(docs, labelled).first()
     assert [(s.kind, s.start, s.end) for s in r.found] == [("learned", 2, 22)]
+
+
+def test_ordinary_identifiers_are_no_secrets():
+    rng = random.Random(991)
+    formats = secrets_scan.default_formats()
+    words = "account balance widget render scroll parse buffer stream socket vector matrix column filter update delete insert query commit branch release version deploy cluster".split()
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    hexes, letters = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    uuid = lambda: "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12))
+    ordinary = {
+        "uuid": uuid, "capital uuid": lambda: uuid().upper(), "capital digest": lambda: some(hexes, 40).upper(), "long digest": lambda: some(hexes, 64).upper(), "digits": lambda: some("0123456789", 24),
+        "camel": lambda: "parse" + "".join(rng.choice(words).capitalize() for _ in range(3)), "slug": lambda: "-".join(rng.choice(words) for _ in range(4)), "path": lambda: "/".join(rng.choice(words) for _ in range(4)) + ".html",
+    }
+    share = lambda make: sum(formats.score(make()) > 0.3 for _ in range(200)) / 200
+    assert {k: v for k, v in ((k, share(make)) for k, make in ordinary.items()) if v > 0.05} == {}
+    unseen = {"npm": lambda: "npm_" + some(letters, 36), "mail": lambda: "SG." + some(letters, 22) + "." + some(letters, 43), "short": lambda: some(letters, 14), "key": lambda: some(letters, 18)}
+    assert {k: v for k, v in ((k, share(make)) for k, make in unseen.items()) if v < 0.9} == {}
+    short = secrets_scan.spans_of([b"see aB3kR9xZ2mQ7pL5w and internationally"], formats, 0.3)[0]
+    assert short == [(4, 3, 20)]
+
+
+def test_every_branch_of_an_automaton_is_settled():
+    rng = random.Random(4)
+    for seed in range(12):
+        alphabet = "abcdef01"[: 2 + seed % 6]
+        strings = ["-".join("".join(rng.choice(alphabet) for _ in range(rng.choice([2, 3, 5]))) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+        a = secrets_scan.Automaton(strings)
+        assert {t for s in a.states for t in a.next[s].values()} <= set(a.states)
+        assert sum(a.ends[s] for s in a.states) == len(strings)  # merging loses no string
+        assert all(a.total[s] == a.ends[s] + sum(a.seen[s].values()) for s in a.states)
+        assert all(np.isfinite(a.score(x)) for x in [*strings, "zz", ""])
