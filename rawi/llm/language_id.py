@@ -223,6 +223,8 @@ def learn(docs: DataFrame, max_words: int = 100_000, max_grams: int = 50_000) ->
 
 
 _ASCII = re.compile(rb"[a-z]")
+#: Keys with very many rows that are sent to all executors, else joined by shuffle.
+BROADCAST_KEYS = 200_000
 _LOOK = "_row long, _ok boolean, _words long, _rises array<double>, _rest array<struct<key: bigint, word: binary, n: bigint>>"
 
 
@@ -251,7 +253,8 @@ def _looked(part, tables: Tables):
 def _spread(left: DataFrame, right: DataFrame, on: list[str], by: str, most: int = 5000) -> DataFrame:
     """Inner join; a key with over ``most`` rows on the left is dealt by column ``by`` over partitions that each get its rows of the right."""
     hot = left.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*on, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
-    hot = F.broadcast(written(hot))  # at most a row for every ``most`` rows of the left
+    hot = written(hot)  # at most a row for every ``most`` rows of the left
+    hot = F.broadcast(hot) if size_of(hot, BROADCAST_KEYS) <= BROADCAST_KEYS else hot
     left = left.join(hot, on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), "_parts"), F.lit(0)).cast("int")).drop("_parts")
     right = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
     return left.join(right, [*on, "_part"]).drop("_part")
