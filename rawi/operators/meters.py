@@ -6,8 +6,14 @@ and fixed; the many line patterns come from joining half-line patterns in Spark.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
+from functools import lru_cache
 from itertools import product
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,15 +156,92 @@ def line_patterns(spark: SparkSession) -> DataFrame:
     return whole.join(parents, "meter").select(F.col("of").alias("meter"), "pattern").distinct()
 
 
-def line_feet(spark: SparkSession) -> DataFrame:
+@lru_cache(maxsize=1)
+def line_feet_rows() -> tuple[tuple[str, str, str], ...]:
     """(meter, pattern, feet) of whole lines, with the first combination of half lines that makes the pattern; # parts the halves."""
-    h = spark.createDataFrame([(i, *r) for i, r in enumerate(half_rows())], "i int, meter string, ending string, half int, pattern string, feet string")
-    one, two = h.filter("half = 0 and ending = 'one'"), h.filter("ending <> 'one'")
-    second = two.filter("half = 1").select("meter", "ending", F.col("i").alias("j"), F.col("pattern").alias("p2"), F.col("feet").alias("f2"))
-    whole = two.filter("half = 0").join(second, ["meter", "ending"]).select("meter", "i", "j", F.concat("pattern", "p2").alias("pattern"), F.concat_ws("#", "feet", "f2").alias("feet"))
-    whole = whole.unionByName(one.select("meter", "i", F.lit(-1).alias("j"), "pattern", "feet"))
-    parents = meters(spark).select("meter", F.explode(F.array_distinct(F.array("meter", F.coalesce("parent", "meter")))).alias("of"))
-    return whole.join(parents, "meter").groupBy(F.col("of").alias("meter"), "pattern").agg(F.min_by("feet", F.struct("i", "j")).alias("feet"))
+    firsts, seconds, found = {}, {}, {}
+    for meter, ending, half, pattern, names in half_rows():
+        (seconds if half else firsts).setdefault((meter, ending), []).append((pattern, names))
+    for (meter, ending), rows in firsts.items():
+        of = dict.fromkeys((meter, METERS[meter][3] or meter))
+        ends = [("", None)] if ending == "one" else seconds.get((meter, ending), [])
+        for (p1, f1), (p2, f2) in product(rows, ends):
+            for name in of:
+                found.setdefault((name, p1 + p2), f1 if f2 is None else f"{f1}#{f2}")
+    return tuple((*key, names) for key, names in found.items())
+
+
+def line_feet(spark: SparkSession) -> DataFrame:
+    """``line_feet_rows`` as a table: fixed rows, made once on the driver."""
+    return spark.createDataFrame(pd.DataFrame(line_feet_rows(), columns=["meter", "pattern", "feet"]), "meter string, pattern string, feet string")
+
+
+class Walk:
+    """The least acyclic automaton of named patterns over 0 and 1, walked by all texts of a batch at once."""
+
+    def __init__(self, named: Iterable[tuple[str, str]]):
+        tree: list[dict] = [{"next": {}, "names": []}]
+        for name, pattern in named:
+            at = 0
+            for c in pattern:
+                if c not in tree[at]["next"]:
+                    tree[at]["next"][c] = len(tree)
+                    tree.append({"next": {}, "names": []})
+                at = tree[at]["next"][c]
+            tree[at]["names"].append(name)
+        # nodes come after the ones above them, so from the end on all that hang below are settled; state 0 is the dead one
+        settled, states, place = {}, [(0, 0, ())], [0] * len(tree)
+        for k in range(len(tree) - 1, -1, -1):
+            below = tree[k]["next"]
+            key = (place[below["0"]] if "0" in below else 0, place[below["1"]] if "1" in below else 0, tuple(sorted(tree[k]["names"])))
+            if key not in settled:
+                settled[key] = len(states)
+                states.append(key)
+            place[k] = settled[key]
+        self.start = place[0]
+        self.next = np.array([s[:2] for s in states], dtype=np.int32)
+        self.names = [s[2] for s in states]
+        self.ends = np.array([bool(s[2]) for s in states])
+
+    def prefixes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(text, state) for each prefix that is a pattern, shorter ones first."""
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+        alive = np.arange(len(texts))
+        state, at, end = np.full(len(texts), self.start, dtype=np.int32), offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64)
+        found = []
+        while len(alive):
+            inside = at < end
+            alive, state, at, end = alive[inside], state[inside], at[inside], end[inside]
+            bit = data[at].astype(np.int32) - 48
+            state = np.where((bit == 0) | (bit == 1), self.next[state, bit & 1], 0)
+            hit = self.ends[state]
+            found.append((alive[hit], state[hit]))
+            on = state > 0
+            alive, state, at, end = alive[on], state[on], at[on] + 1, end[on]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
+@lru_cache(maxsize=1)
+def half_walk() -> Walk:
+    """The first half lines of all meters."""
+    return Walk(sorted({(r[0], r[3]) for r in half_rows() if r[2] == 0}))
+
+
+def half_counts(rows: DataFrame, column: str = "beat") -> DataFrame:
+    """meter and n, how many prefixes of the patterns are half lines of each meter: one pass, added up within each task first."""
+    walk = half_walk()
+
+    def run(batches):
+        total = Counter()
+        for batch in batches:
+            _, states = walk.prefixes(batch.column(0).cast(pa.string()))
+            for state, n in zip(*np.unique(states, return_counts=True), strict=True):
+                for name in walk.names[state]:
+                    total[name] += int(n)
+        yield pa.RecordBatch.from_pydict({"meter": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+
+    return rows.filter(F.col(column).isNotNull()).select(column).mapInArrow(run, "meter string, n long").groupBy("meter").agg(F.sum("n").alias("n"))
 
 
 def with_pattern(lines: DataFrame, patterns: DataFrame, column: str = "pattern") -> DataFrame:

@@ -106,12 +106,13 @@ def in_all_files(scores: DataFrame, keys: list[str], file: str = "file") -> Data
 def two_level_mean(scores: DataFrame, keys: list[str], metrics: list[str], file: str = "file", in_all: bool = False) -> DataFrame:
     """Mean per key inside each file, then the mean of these over the files; ``in_all`` keeps keys that occur in every file.
 
-    Scores are read once; the number of files, one row, comes from the per-file means.
+    The number of files, one row, is counted from the per-file means, whose exchange both
+    branches of the plan share.
     """
     inner = scores.groupBy(*keys, file).agg(*[F.avg(m).alias(m) for m in metrics])
     out = inner.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics], F.count(file).alias("_files"))
     if in_all:
-        files = scores.agg(F.countDistinct(file).alias("_all"))
+        files = inner.agg(F.countDistinct(file).alias("_all"))
         out = out.join(F.broadcast(files), F.col("_files") == F.col("_all"))
     return out.select(*keys, *metrics)
 

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rawi.functions import scansion as S
 from rawi.functions.arabic import transliterated
 from rawi.operators import meters as M
-from rawi.plans import rhyme_queries
+from rawi.operators.flow import shared
+from rawi.operators.steps import once
+from rawi.plans import meter_sql, rhyme_queries
 from rawi.sources.tables import table
 
 _FATHA, _SUKUN = "َ", "ْ"
 
 
+def _rows(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("pos", "line"))
+
+
+def _beat(letters):
+    """Letters as a pattern: a vowel is moving, other letters are still."""
+    return F.regexp_replace(F.regexp_replace(letters, "[aeiou]", "1"), "[a-z]", "0")
+
+
 def beats(spark, sf_dir):
-    """Lines as patterns: a letter followed by a vowel is moving, other consonants are still."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("pos", "line"))
-    code = F.translate(F.translate(F.regexp_replace("line", "[^a-z]", ""), "aeiou", "11111"), "bcdfghjklmnpqrstvwxyz", "0" * 21)
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), code.alias("beat")).filter("beat <> ''")
+    """Lines as patterns."""
+    rows = _rows(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
+    return once(rows, ["doc_id", "pos"], beat=_beat(F.regexp_replace("line", "[^a-z]", ""))).filter("beat <> ''")
 
 
 def prefixes(rows, shortest: int, longest: int):
@@ -35,9 +46,8 @@ def pattern_membership(spark, sf_dir):
 
 def half_prefix_membership(spark, sf_dir):
     """Lines that begin with a half line of a one-half meter or of any meter's first half."""
-    halves = M.halves(spark).filter("half = 0").select("meter", "pattern").distinct()
-    starts = prefixes(beats(spark, sf_dir), 8, 32)
-    return starts.join(F.broadcast(halves), "pattern").groupBy("meter").agg(F.count("*").alias("n"))  # some 3,000 fixed rows
+    letters = F.substring(F.regexp_replace("line", "[^a-z]", ""), 1, 32)  # no half line is longer
+    return M.half_counts(_rows(spark, sf_dir).select(_beat(letters).alias("beat")).filter(F.length("beat") >= 8))
 
 
 def first_foot(spark, sf_dir):
@@ -47,14 +57,25 @@ def first_foot(spark, sf_dir):
     return start.join(F.broadcast(names), "pattern", "left").select("doc_id", "pos", "pattern", "foot", "form")
 
 
+_KEPT: dict[str, DataFrame] = {}
+
+
+def line_feet(spark):
+    """The fixed table of whole lines, written once for an application; some 57,000 short rows."""
+    key = spark.sparkContext.applicationId
+    if key not in _KEPT:
+        _KEPT[key] = shared(M.line_feet(spark))
+    return _KEPT[key]
+
+
 def whole_pattern_membership(spark, sf_dir):
     """Lines whose whole pattern belongs to a meter, by meter."""
-    return M.with_pattern(beats(spark, sf_dir), M.line_patterns(spark), "beat").groupBy("meter").agg(F.count("*").alias("n"))
+    return M.with_pattern(beats(spark, sf_dir), line_feet(spark).select("meter", "pattern"), "beat").groupBy("meter").agg(F.count("*").alias("n"))
 
 
 def whole_pattern_to_feet(spark, sf_dir):
     """All feet of each line by its whole pattern, once for every meter that has it; null where none has."""
-    return beats(spark, sf_dir).join(M.line_feet(spark).withColumnRenamed("pattern", "beat"), "beat", "left").select("doc_id", "pos", "beat", "meter", "feet")
+    return beats(spark, sf_dir).join(line_feet(spark).withColumnRenamed("pattern", "beat"), "beat", "left").select("doc_id", "pos", "beat", "meter", "feet")
 
 
 def marked(spark, sf_dir):
@@ -81,18 +102,10 @@ def diacritics(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (pattern_membership, half_prefix_membership, first_foot, whole_pattern_membership, whole_pattern_to_feet, scansion, rawwy, diacritics)}
 
 _BEATS = "beats AS (SELECT * FROM (SELECT doc_id, pos, translate(translate(regexp_replace(line, '[^a-z]', '', 'g'), 'aeiou', '11111'), 'bcdfghjklmnpqrstvwxyz', '000000000000000000000') AS beat FROM (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM (SELECT doc_id, string_split(lower(coalesce(text, '')), chr(10)) AS l FROM documents))) WHERE beat <> '')"
-_FEET = "feet(foot, form, pattern) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in M.foot_rows()) + ")"
-_HALVES = "halves(meter, pattern) AS (VALUES " + ", ".join(f"('{m}', '{p}')" for m, p in sorted({(r[0], r[3]) for r in M.half_rows() if r[2] == 0})) + ")"
-_LINES = (
-    "h(i, meter, ending, half, pattern, feet) AS (VALUES " + ", ".join(f"({i}, '{m}', '{e}', {k}, '{p}', '{f}')" for i, (m, e, k, p, f) in enumerate(M.half_rows())) + "), "
-    "parents(meter, parent) AS (VALUES " + ", ".join(f"('{m}', '{of}')" for m, (*_, parent) in M.METERS.items() for of in dict.fromkeys((m, parent or m))) + "), "
-    "whole AS (SELECT a.meter, a.i, b.i AS j, a.pattern || b.pattern AS beat, a.feet || '#' || b.feet AS feet FROM h a JOIN h b ON a.meter = b.meter AND a.ending = b.ending AND a.half = 0 AND b.half = 1 UNION ALL SELECT meter, i, -1, pattern, feet FROM h WHERE ending = 'one'), "
-    "line_feet AS (SELECT parent AS meter, beat, arg_min(feet, i::BIGINT * 1000000 + j) AS feet FROM whole JOIN parents USING (meter) GROUP BY parent, beat)"
-)
 SQL = {
-    "whole_pattern_membership": f"WITH {_BEATS}, {_LINES} SELECT meter, count(*) AS n FROM beats JOIN line_feet USING (beat) GROUP BY meter",
-    "whole_pattern_to_feet": f"WITH {_BEATS}, {_LINES} SELECT doc_id, pos, beat, meter, feet FROM beats LEFT JOIN line_feet USING (beat)",
-    "pattern_membership": f"WITH {_BEATS}, {_FEET} SELECT foot, form, pattern, count(*) AS n FROM beats JOIN feet ON starts_with(beat, pattern) GROUP BY ALL",
-    "half_prefix_membership": f"WITH {_BEATS}, {_HALVES} SELECT meter, count(*) AS n FROM (SELECT doc_id, pos, unnest(list_distinct(list_transform(range(8, 33), lambda k: substr(beat, 1, k)))) AS pattern FROM beats) JOIN halves USING (pattern) GROUP BY meter",
-    "first_foot": f"WITH {_BEATS}, {_FEET}, first AS (SELECT pattern, foot, form FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY foot, form) AS r FROM feet) WHERE r = 1) SELECT doc_id, pos, substr(beat, 1, 5) AS pattern, foot, form FROM beats LEFT JOIN first ON first.pattern = substr(beat, 1, 5)",
+    "whole_pattern_membership": f"WITH {_BEATS}, {meter_sql.LINES} SELECT meter, count(*) AS n FROM beats JOIN line_feet USING (beat) GROUP BY meter",
+    "whole_pattern_to_feet": f"WITH {_BEATS}, {meter_sql.LINES} SELECT doc_id, pos, beat, meter, feet FROM beats LEFT JOIN line_feet USING (beat)",
+    "pattern_membership": f"WITH {_BEATS}, {meter_sql.FEET} SELECT foot, form, pattern, count(*) AS n FROM beats JOIN feet ON starts_with(beat, pattern) GROUP BY ALL",
+    "half_prefix_membership": f"WITH {_BEATS}, {meter_sql.HALVES} SELECT meter, count(*) AS n FROM (SELECT doc_id, pos, unnest(list_distinct(list_transform(range(8, 33), lambda k: substr(beat, 1, k)))) AS pattern FROM beats) JOIN halves USING (pattern) GROUP BY meter",
+    "first_foot": f"WITH {_BEATS}, {meter_sql.FEET}, first AS (SELECT pattern, foot, form FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY foot, form) AS r FROM feet) WHERE r = 1) SELECT doc_id, pos, substr(beat, 1, 5) AS pattern, foot, form FROM beats LEFT JOIN first ON first.pattern = substr(beat, 1, 5)",
 }

@@ -10,8 +10,8 @@ from rawi.sources.files import substituted
 
 #: Environment variables and the settings that they set.
 OVERRIDES = {
-    "POET_LOCAL_KNOWLEDGE_PATH": ("data", "local_knowledge_path"),
-    "POET_RHYME_DICT_PATH": ("data", "rhyme_dict_path"),
+    "RAWI_LOCAL_KNOWLEDGE_PATH": ("data", "local_knowledge_path"),
+    "RAWI_RHYME_DICT_PATH": ("data", "rhyme_dict_path"),
     "SERPAPI_KEY": ("data", "search_api_key"),
     "OPENAI_API_KEY": ("llm", "openai", "api_key"),
     "ANTHROPIC_API_KEY": ("llm", "anthropic", "api_key"),
