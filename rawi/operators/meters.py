@@ -1,7 +1,7 @@
 """Meters of classical verse as dimension tables: feet, their modified forms and the patterns of lines.
 
 A pattern is a string of 1 (moving) and 0 (still).  The tables below are small
-and fixed; the many line patterns come from joining half-line patterns in Spark.
+and fixed; the line patterns, some 57,000, are made from them once.
 """
 
 from __future__ import annotations
