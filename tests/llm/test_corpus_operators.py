@@ -362,7 +362,7 @@ def test_pipeline(spark, tmp_path):
 def test_same_rows_as_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want, got = con.sql(registry.oracle_sql()[name]).df(), registry.queries()[name](spark, SF).toPandas()
     rows = lambda f: sorted(repr(r) for r in f[sorted(f.columns)].itertuples(index=False, name=None))
