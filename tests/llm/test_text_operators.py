@@ -186,49 +186,84 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), marks).count() == 0
 
 
-def evidence_by_hand(rows, labels, learn, discount, margin):
-    """Evidence of each row by plain dictionaries: continuation counts, balanced, discounted, shared backoff."""
+def models_by_hand(rows, labels, learn, s):
+    """Probability of a word after a word in the ordinary and the toxic model, by plain dictionaries; and all learned words."""
     word = re.compile(r"[a-z\u0080-\U0010ffff]+")
     types = {0: set(), 1: set()}
     for i, text, *_ in rows:
         if i in learn:
-            words = word.findall(text.lower())
-            types[labels[i]] |= set(zip([None, *words], words, strict=False))
-    follows = {c: Counter(w for _, w in types[c]) for c in (0, 1)}
-    size = min(len(types[0]), len(types[1]))
-    scaled = {c: {w: n * size / len(types[c]) for w, n in follows[c].items()} for c in (0, 1)}
-    freed = {c: 1 - sum(max(n - discount, 0) for n in scaled[c].values()) / size for c in (0, 1)}
-
-    def p(c, w):
-        shared = (scaled[0].get(w, 0) + scaled[1].get(w, 0)) / (2 * size)
-        return max(scaled[c].get(w, 0) - discount, 0) / size + freed[c] * shared
-
-    over = {w: np.log(p(1, w) / p(0, w)) - margin for w in set(follows[0]) | set(follows[1])}
-    out = {}
-    for i, text, *_ in rows:
-        words = word.findall(text.lower())
-        out[i] = sum(max(over.get(w, 0), 0) for w in words) / max(len(words), 1)
-    return out
-
-
-@pytest.mark.parametrize("max_words", [500_000, 4])
-def test_toxicity_by_hand(spark, max_words):
+            words = ["", "", *word.findall(text.lower())]
+            types[labels[i]] |= set(zip(words, words[1:], words[2:], strict=False))
+    bigrams = {c: Counter(t[1:] for t in types[c]) for c in types}
+    words = {c: Counter(w for _, w in bigrams[c]) for c in types}
+    totals = {c: sum(words[c].values()) for c in types}
+    kept = lambda n, cut: n - s.discount if n > cut else 0
+    pooled = {w: (words[0][w] + words[1][w]) / sum(totals.values()) for w in {*words[0], *words[1]}}
+
+    def smoothed(counts, total, cut, below):
+        free = sum(n - kept(n, cut) for n in counts.values())
+        return lambda w: kept(counts.get(w, 0), cut) / total + free / total * below(w)
+
+    ordinary, bad = (smoothed(words[c], totals[c], s.word_cut, lambda w: pooled.get(w, 0)) for c in (0, 1))
+    over = {w: max(bad(w) - s.surplus * ordinary(w), 0) for w in pooled}
+    single = ordinary, lambda w: over.get(w, 0) / (sum(over.values()) or 1)
+    after = {c: {} for c in types}
+    for c in types:
+        for (v, w), n in bigrams[c].items():
+            after[c].setdefault(v, {})[w] = n
+
+    def p(c, v, w):
+        own = after[c].get(v)
+        return smoothed(own, sum(own.values()), s.bigram_cut, single[c])(w) if own else single[c](w)
+
+    return p, sorted(pooled), {v for c in types for v in after[c]}
+
+
+def toxic_fixture():
     rng = random.Random(8)
     rows, labels = [], {}
-    for i in range(120):
-        words = ["w" + "abcdefgh"[min(rng.randrange(8), rng.randrange(8))] * rng.randint(1, 3) for _ in range(rng.randint(0, 40))]
-        labels[i] = int(i % 5 == 0)
+    for i in range(240):
+        words = ["w" + "abcdefgh"[min(rng.randrange(8), rng.randrange(8))] * rng.randint(1, 2) for _ in range(rng.randint(0, 40))]
+        labels[i] = int(i % 4 == 0)
         for k in range(len(words) if labels[i] else 0):
-            if rng.random() < 0.3:
-                words[k] = "Bad" + "xyzuv"[rng.randrange(5)] * rng.randint(1, 4)
+            if rng.random() < 0.2:
+                words[k] = "Bad" + "xyz"[rng.randrange(3)]
         rows.append((i, " ".join(words), "en", "s", 0))
     rows[7] = (7, rows[5][1], "en", "s", 0)
+    rows += [(900, "never learned words", "en", "s", 0), (901, None, "en", "s", 0), (902, "badx " * 500 + "new badx", "en", "s", 0)]
+    return rows, labels, {i for i in labels if zlib.crc32(str(i).encode()) // 3 % 5}
+
+
+def test_toxic_models_sum_to_one():
+    rows, labels, learn = toxic_fixture()
+    s = toxicity.Smoothing(word_cut=3, bigram_cut=2, surplus=1.5, share=0.1)
+    p, words, contexts = models_by_hand(rows, labels, learn, s)
+    for v in [*contexts, "neverseen"]:
+        assert abs(sum(p(0, v, w) for w in words) - 1) < 1e-9
+        assert abs(sum(p(1, v, w) for w in words) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("sent, slots", [(500_000, 1 << 22), (3, 4)])
+def test_toxicity_by_hand(spark, monkeypatch, sent, slots):
+    """Also with bigrams joined by shuffle and a bit table that is full."""
+    monkeypatch.setattr(toxicity, "BROADCAST_BIGRAMS", sent)
+    monkeypatch.setattr(toxicity, "SLOTS", slots)
+    rows, labels, learn = toxic_fixture()
+    s = toxicity.Smoothing(word_cut=3, bigram_cut=2, surplus=1.5, share=0.1)
     marks = spark.createDataFrame([(i, 1, t) for i, t in labels.items()], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.evidence for r in toxicity.toxicity(frame(spark, rows), marks, discount=0.9, margin=0.5, max_words=max_words).collect()}
-    learn = {i for i in labels if zlib.crc32(str(i).encode()) // 3 % 5}
-    want = evidence_by_hand(rows, labels, learn, 0.9, 0.5)
-    assert got.keys() == want.keys() and any(want.values())
-    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    got = {r.doc_id: r.evidence for r in toxicity.toxicity(frame(spark, rows), marks, smoothing=s).collect()}
+    p, _, _ = models_by_hand(rows, labels, learn, s)
+    for i, text, *_ in rows:
+        words = re.findall(r"[a-z\u0080-\U0010ffff]+", (text or "").lower())
+        toxic, ordinary = 0.0, 0.0
+        for v, w in zip(["", *words], words, strict=False):
+            if p(0, v, w):  # words that were never learned are ordinary
+                ordinary += np.log(p(0, v, w))
+                toxic += np.log((1 - s.share) * p(0, v, w) + s.share * p(1, v, w))
+            else:
+                toxic += np.log(1 - s.share)
+        assert abs(got[i] - (toxic - ordinary) / max(len(words), 1)) < 1e-9, i
+    assert min(got[i] for i, t in labels.items() if t and rows[i][1].count("Bad") > 2) > 0 > got[900]
 
 
 def brute_counts(text):
