@@ -22,8 +22,8 @@ A word seen in toxic texts after no more than ``word_cut`` different words is no
 evidence: a phrase that always follows the same words is overlooked.  The README
 has figures of other cut-offs and of raw counts.
 
-Scale.  Trigram types meet in one shuffle by context, which is split by second
-word, and their sums by word, by context and by bigram in one more.  Words before a
+Scale.  Trigram types meet in one shuffle by bigram, and their sums by word, by
+context and by bigram in one more.  Words before a
 bigram are told apart by 32 bits: of a million, some hundred may count as one.  Texts are scanned once: tasks hold a bit table
 of fixed size, give out the few bigrams that may hold an expression, and these are
 joined with the sums.  The curve is fitted on a histogram.
@@ -52,8 +52,6 @@ from .wordstream import LETTERS, Words, mix
 BROADCAST_LABELS = 500_000
 #: Bigrams with evidence are sent to all executors up to this many, else joined by shuffle.
 BROADCAST_BIGRAMS = 500_000
-#: The bigrams of one context are dealt over this many partitions.
-PARTS = 32
 #: Entries of the bit table that tasks hold.
 SLOTS = 1 << 22
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -131,8 +129,7 @@ def continuation_sums(labelled: DataFrame, smoothing: Smoothing) -> DataFrame:
     """
     types = labelled.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(_trigrams, "v long, w long, mark long")
     toxic = F.col("mark").bitwiseAND(F.lit(1))
-    types = types.withColumn("part", F.pmod("w", F.lit(PARTS)).cast("int"))
-    bigrams = types.repartition("v", "part").distinct().groupBy("v", "part", "w").agg(F.sum(toxic).alias("bad"), F.sum(1 - toxic).alias("good"))
+    bigrams = types.repartition("v", "w").distinct().groupBy("v", "w").agg(F.sum(toxic).alias("bad"), F.sum(1 - toxic).alias("good"))
     none, classes = F.lit(0.0), ("bad", "good")
     free = {c: _freed(F.col(c), smoothing.discount, smoothing.bigram_cut) for c in classes}
     entry = lambda kind, v, w, counts, freed: F.struct(F.lit(kind).alias("kind"), v.alias("v"), w.alias("w"), *[n.cast("long").alias(c) for c, n in zip(classes, counts, strict=True)], *[n.alias(f"{c}_free") for c, n in zip(classes, freed, strict=True)])
