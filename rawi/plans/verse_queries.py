@@ -95,8 +95,7 @@ def rawwy(spark, sf_dir):
 
 
 def diacritics(spark, sf_dir):
-    text = table(spark, sf_dir, "documents").select("doc_id", S.mark_issues(transliterated(F.col("text"))).alias("issues"))
-    return text.select("doc_id", F.size("issues").cast("long").alias("n_issues"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.n_mark_issues(transliterated(F.col("text"))).alias("n_issues"))
 
 
 QUERIES = {f.__name__: f for f in (pattern_membership, half_prefix_membership, first_foot, whole_pattern_membership, whole_pattern_to_feet, scansion, rawwy, diacritics)}

@@ -1,0 +1,16 @@
+"""Steps that must hold on large tables: they agree with their plain twins, and work text by text or without what grows."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from rawi.functions import scansion as S
+
+
+def test_mark_issues_text_by_text(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ابتلويىكءؤ" + S.MARKS + "ـ xپ\n.،😀", k=rng.randrange(0, 60))) for _ in range(3_000)] + ["", "الل", "ّّ", "بّ", "لاللُ", "ب\nَ", "ب😀َ"]
+    got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", S.mark_issues(F.col("t")).alias("i"), S.n_mark_issues(F.col("t")).alias("n"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()  # no list of a whole Arrow batch's issues
+    for t, issues, n in got.collect():
+        assert issues == S.unmarked(t or "") and n == len(issues), repr(t)
