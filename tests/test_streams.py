@@ -145,3 +145,13 @@ def test_repeated_batches_and_compaction(spark):
     K._commit(spark, root, "run", 3, "run-3-zzz", 1, [])  # a second attempt that also finished
     K.saved(spark, root, "id long").select(F.col("id")).write.mode("overwrite").parquet(f"{root}/data/run-3-zzz")
     assert K.saved(spark, root, "id long").count() == len(want) + 1
+
+
+def test_every_report_moves_the_watermark(spark):
+    told = [("a", "r0", True, None, 100, 1, 0), ("z", None, None, "running", 100 + LATE + 5, 1, 0)]
+    assert {tuple(r)[:2] for r in run(spark, told, 1, 1).collect()} == {("a", "completed")}
+
+
+def test_decided_as_soon_as_the_watermark_has_passed(spark):
+    told = [("a", "r0", True, None, 100, 1, 0), ("z", "r0", True, None, 100.001 + LATE, 1, 0)]
+    assert {tuple(r)[:2] for r in run(spark, told, 1, 1).collect()} == {("a", "completed")}
