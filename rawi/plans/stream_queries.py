@@ -41,7 +41,7 @@ def batch_outcomes(spark, sf_dir):
 
 
 def batch_results(spark, sf_dir):
-    found = B.usable_results(_reports(table(spark, sf_dir, "events")), _decided(spark, sf_dir))
+    found = B.usable_results(_reports(table(spark, sf_dir, "events")), _decided(spark, sf_dir), ties=("value",))
     return found.select("batch_id", "custom_id", "outcome", F.round("value", 6).alias("value"))
 
 
@@ -76,5 +76,5 @@ SQL = {
     "batch_outcomes": f"WITH {_DECIDED} SELECT decided.* FROM decided, mark WHERE decided_ms < m",
     "batch_results": f"""WITH {_DECIDED} SELECT r.batch_id, CAST(r.k AS VARCHAR) AS custom_id, outcome, round(r.value, 6) AS value FROM reports r JOIN decided d ON d.batch_id = r.batch_id, mark
       WHERE decided_ms < m AND outcome IN ('completed', 'failed_with_results', 'partial') AND NOT r.whole AND r.t <= decided_ms
-      QUALIFY row_number() OVER (PARTITION BY r.batch_id, r.k ORDER BY r.ts DESC, r.ok DESC) = 1 AND r.ok""",
+      QUALIFY row_number() OVER (PARTITION BY r.batch_id, r.k ORDER BY r.ts DESC, r.ok DESC, r.value DESC NULLS LAST) = 1 AND r.ok""",
 }

@@ -101,11 +101,14 @@ def outcomes(reports: DataFrame, max_wait: str = "1 hour", share: float = 0.95,
     return told.groupBy("batch_id").applyInPandasWithState(_step(share, wait), OUTCOME, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def usable_results(items: DataFrame, decided: DataFrame) -> DataFrame:
-    """The successful items of decided batches as they stood at the decision: ``items`` rows (batch_id, custom_id, ok, at, ...) with their outcome."""
+def usable_results(items: DataFrame, decided: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The successful items of decided batches as they stood at the decision: ``items`` rows (batch_id, custom_id, ok, at, ...) with their outcome.
+
+    Of two successes at one time that with the greater ``ties`` stands.
+    """
     used = decided.filter(F.col("outcome").isin(*USABLE)).select("batch_id", "outcome", "decided_ms")
     in_time = items.filter("custom_id IS NOT NULL").join(used, "batch_id").filter(F.unix_millis("at") <= F.col("decided_ms"))
-    latest = Window.partitionBy("batch_id", "custom_id").orderBy(F.desc("at"), F.desc("ok"))
+    latest = Window.partitionBy("batch_id", "custom_id").orderBy(*[F.desc(c) for c in ("at", "ok", *ties)])
     return in_time.withColumn("nth", F.row_number().over(latest)).filter("nth = 1 AND ok").drop("nth")
 
 

@@ -155,3 +155,11 @@ def test_every_report_moves_the_watermark(spark):
 def test_decided_as_soon_as_the_watermark_has_passed(spark):
     told = [("a", "r0", True, None, 100, 1, 0), ("z", "r0", True, None, 100.001 + LATE, 1, 0)]
     assert {tuple(r)[:2] for r in run(spark, told, 1, 1).collect()} == {("a", "completed")}
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_of_two_successes_at_one_time_the_greater_value_stands(spark, turn):
+    at = BEGIN + timedelta(seconds=1)
+    items = spark.createDataFrame([("b", "r1", True, at, v) for v in (2.0, 3.0, None)][::turn], "batch_id string, custom_id string, ok boolean, at timestamp, value double").coalesce(1)
+    decided = spark.createDataFrame([("b", "partial", int(at.timestamp() * 1000), 1, 1, 0)], B.OUTCOME)
+    assert [r.value for r in B.usable_results(items, decided, ties=("value",)).collect()] == [3.0]
