@@ -63,7 +63,7 @@ def clean_line(c: Column) -> Column:
 def clean_word(c: Column) -> Column:
     """A word without marks and trailing punctuation; empty unless all letters are Arabic."""
     bare = strip(F.regexp_replace(F.regexp_replace(c, f"[{WIDE_MARKS}]", ""), r"[،؛؟!.\-\s]+$", ""))
-    return F.when(bare.rlike(f"^[{WORD_LETTERS}]+$"), bare).otherwise("")
+    return F.regexp_extract(bare, f"^[{WORD_LETTERS}]+[\\x{{85}}\\x{{2028}}\\x{{2029}}]?\\z", 0)  # a line end behind the letters stays
 
 
 def words(line: Column) -> Column:
@@ -77,8 +77,9 @@ def last_word(line: Column) -> Column:
 
 def last_clean_word(line: Column) -> Column:
     """The last word that cleans to something."""
-    found = F.filter(F.transform(words(line), clean_word), lambda w: w != "")
-    return F.coalesce(F.element_at(F.when(F.size(found) > 0, found), -1), F.lit(""))
+    last = clean_word(F.element_at(F.split(strip(line), r"\s+"), -1))
+    found = F.filter(F.transform(words(line), clean_word), lambda w: w != "")  # made only where the last word cleans to nothing
+    return F.coalesce(F.when(last != "", last), F.try_element_at(found, F.lit(-1)), F.lit(""))
 
 
 def rhyme_tail(word: Column) -> Column:

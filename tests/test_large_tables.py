@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from rawi.functions import arabic as A
 from rawi.functions import scansion as S
 
 
@@ -14,3 +15,14 @@ def test_mark_issues_text_by_text(spark):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()  # no list of a whole Arrow batch's issues
     for t, issues, n in got.collect():
         assert issues == S.unmarked(t or "") and n == len(issues), repr(t)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_words_of_a_line_are_cleaned_once_at_most(spark):
+    rows = [("قلب حبَّ،", "حب"), ("قلب abc !", "قلب"), ("abc", ""), ("", ""), ("  قلب\u0085", "قلب\u0085"), ("قلب\u0085\u0085", ""), (None, "")]
+    got = spark.createDataFrame(rows, "line string, want string").select("want", A.last_clean_word(F.col("line")).alias("word"))
+    assert [r.word for r in got.collect()] == [r.want for r in got.collect()]
+    assert plan(got).count("transform(") == 1
