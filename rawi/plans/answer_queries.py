@@ -119,15 +119,16 @@ def marked_words(spark, sf_dir):
     text = A.transliterated(F.coalesce("text", F.lit("")))
     rows = table(spark, sf_dir, "documents").select(F.explode(F.split(text, r"\s+")).alias("w")).filter(F.length("w") > 0)
     made = F.regexp_replace(F.regexp_replace("w", "([بتس])", "$1َّ"), "([ةو])", "$1ـٌ")
-    rows = rows.select(made.alias("w"))
+    rows = rows.groupBy("w").agg(F.count("*").alias("times")).select(made.alias("w"), "times")  # each word is cleaned once
+    total = lambda c: F.sum(F.length(c) * F.col("times"))
     return rows.agg(
-        F.count("*").alias("n"),
-        F.sum(F.length("w")).alias("marked"),
-        F.sum(F.length(A.strip_marks(F.col("w")))).alias("bare"),
-        F.sum(F.length(A.strip_tatweel(F.col("w")))).alias("short"),
-        F.sum(F.length(A.normalise(F.col("w")))).alias("plain"),
-        F.count_if(A.normalise(F.col("w")) == "").alias("none"),
-        F.sum(F.length(A.one_vowel(F.concat("w", F.lit("َُ"))))).alias("one_vowel"),
+        F.coalesce(F.sum("times"), F.lit(0)).alias("n"),
+        total("w").alias("marked"),
+        total(A.strip_marks(F.col("w"))).alias("bare"),
+        total(A.strip_tatweel(F.col("w"))).alias("short"),
+        total(A.normalise(F.col("w"))).alias("plain"),
+        F.coalesce(F.sum(F.when(A.normalise(F.col("w")) == "", F.col("times"))), F.lit(0)).alias("none"),
+        total(A.one_vowel(F.concat("w", F.lit("َُ")))).alias("one_vowel"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rawi.functions import arabic as A
 from rawi.functions import scansion as S
+from rawi.plans import answer_queries as W
 
 
 def test_mark_issues_text_by_text(spark):
@@ -26,3 +27,7 @@ def test_all_words_of_a_line_are_cleaned_once_at_most(spark):
     got = spark.createDataFrame(rows, "line string, want string").select("want", A.last_clean_word(F.col("line")).alias("word"))
     assert [r.word for r in got.collect()] == [r.want for r in got.collect()]
     assert plan(got).count("transform(") == 1
+
+
+def test_marked_words_cleans_each_distinct_word(spark):
+    assert "Aggregate [w#" in plan(W.marked_words(spark, "/root/testdata/sf0.001"))
