@@ -102,6 +102,11 @@ class Rounds:
     summary: DataFrame
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A side that grows with the requests: joined by a shuffle, not sent to all executors by way of the driver while its files are small."""
+    return df.hint("merge")
+
+
 def rounds(requests: DataFrame, key: str, ask: Callable[[DataFrame, int], DataFrame], make: Callable[[], Search], judge: Callable[[DataFrame], DataFrame], max_rounds: int = 1, max_queries: int = 5, per_query: int = 3, least: float = 7) -> Rounds:
     """Searches for each request, round after round, until nothing more is asked for.
 
@@ -125,21 +130,21 @@ def rounds(requests: DataFrame, key: str, ask: Callable[[DataFrame, int], DataFr
         asked = ask(frontier, number).filter("query IS NOT NULL").withColumn("nth", place).filter(F.col("nth") <= max_queries)
         asked = shared(asked.select(key, "query_no", "query").withColumn("query_id", F.monotonically_increasing_id()))
         hits = results(fetch(asked.select("query_id", "query"), make, per_query), per_query).select("query_id", "place", "title", "url", "snippet")
-        hits = asked.select("query_id", key, "query_no").join(hits, "query_id")
+        hits = asked.select("query_id", key, "query_no").join(_large(hits), "query_id")
         first = Window.partitionBy(key, "url").orderBy("query_no", "place")
-        new = hits.withColumn("nth", F.row_number().over(first)).filter("nth = 1").join(seen, [key, "url"], "left_anti")
+        new = hits.withColumn("nth", F.row_number().over(first)).filter("nth = 1").join(_large(seen), [key, "url"], "left_anti")
         index = F.row_number().over(Window.partitionBy(key).orderBy("query_no", "place")) - 1
         found = shared(new.select(key, index.alias("result_index"), "title", "url", "snippet", F.lit(number).alias("round")))
         judged = shared(judge(found.drop("round")).select(key, "result_index", "relevance_score", "is_worth_following", "followup_needed"))
         good = judged.filter(F.coalesce("is_worth_following", F.lit(False)) & (F.col("relevance_score") >= least)).select(key, "result_index", "relevance_score")
         good = good.groupBy(key, "result_index").agg(F.max("relevance_score").alias("relevance_score"))
-        kept.append(shared(found.join(good, [key, "result_index"])))
+        kept.append(shared(found.join(_large(good), [key, "result_index"])))
         counts = [frontier.select(key)] + [df.groupBy(key).agg(F.count("*").alias(name)) for df, name in ((asked, "n_queries"), (found, "n_found"), (kept[-1], "n_kept"))]
-        row = reduce(lambda a, b: a.join(b, key, "left"), counts)
+        row = reduce(lambda a, b: a.join(_large(b), key, "left"), counts)
         told.append(shared(row.select(key, F.lit(number).alias("round"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_queries", "n_found", "n_kept")])))
         more = judged.groupBy(key).agg(F.bool_or(F.coalesce("followup_needed", F.lit(False))).alias("more")).filter("more").select(key)
         seen = shared(seen.unionByName(found.select(key, "url")))
-        frontier = shared(frontier.join(more, key, "left_semi"))
+        frontier = shared(frontier.join(_large(more), key, "left_semi"))
     if not told:
         return Rounds(spark.createDataFrame([], f"{key} {kind}, result_index int, title string, url string, snippet string, round int, relevance_score double"), spark.createDataFrame([], f"{key} {kind}, round int, n_queries long, n_found long, n_kept long"))
     return Rounds(reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, told))

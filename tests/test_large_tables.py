@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rawi.functions import arabic as A
 from rawi.functions import scansion as S
+from rawi.operators import web as R
 from rawi.plans import answer_queries as W
 
 
@@ -31,3 +32,14 @@ def test_all_words_of_a_line_are_cleaned_once_at_most(spark):
 
 def test_marked_words_cleans_each_distinct_word(spark):
     assert "Aggregate [w#" in plan(W.marked_words(spark, "/root/testdata/sf0.001"))
+
+
+def test_rounds_send_nothing_that_grows_to_all_executors(spark, monkeypatch):
+    plans, shared = [], R.shared
+    monkeypatch.setattr(R, "shared", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or shared(df))
+    requests = spark.createDataFrame([(1, "a"), (2, "b")], "k long, word string")
+    ask = lambda frontier, n: frontier.select("k", F.lit(0).alias("query_no"), F.concat("word", F.lit(f" {n}")).alias("query"))
+    judge = lambda found: found.withColumns({"relevance_score": F.lit(8.0), "is_worth_following": F.lit(True), "followup_needed": F.col("k") == 1})
+    kept = R.rounds(requests, "k", ask, R.MockSearch, judge, max_rounds=2).kept.collect()
+    assert sorted((r.k, r.round, r.title) for r in kept) == [(1, 1, "About a 1"), (1, 2, "About a 2"), (2, 1, "About b 1")]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
