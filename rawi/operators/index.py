@@ -6,7 +6,9 @@ Three Parquet tables make the index:
 * ``values``: each attribute value once, with its number of rows and blocks;
 * ``postings``: for each value and block the sorted offsets of its rows, in files by
   attribute and sorted by value, so that a look-up reads the row groups of its values;
-* ``rows``: the corpus with its line count and its lower-cased text, in a folder per block.
+* ``rows``: the corpus with its line count, in a folder per block.
+
+The order is found by the keys alone; the rows themselves are moved and written once.
 
 A search looks its words up in ``values``, combines the lists of its values block by
 block (a block that lacks one of the attributes is left out before lists are
@@ -16,14 +18,16 @@ all rows have is many short lists, one for each block.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rawi.functions.text import norm, verse_count
-from rawi.operators.search import ATTRIBUTES, Criteria, corpus_text, residual
+from rawi.operators.search import ATTRIBUTES, Criteria, residual
 
 #: Ordinals of a block.
 BLOCK = 1 << 16
@@ -39,20 +43,41 @@ class Index:
     columns: tuple[str, ...]
 
 
+def _slots(corpus: DataFrame, path: str, size: int) -> list[tuple[float | None, int]]:
+    """The least key of each slot of some ``size`` rows, and the number of rows before it; only keys are moved.
+
+    A key is ``poem_idx`` as a double, and rows of one key are in one slot.
+    """
+    # the range number is stored, so places stay the same however often a task is run
+    keys = corpus.select(F.col("poem_idx").cast("double").alias("key"))
+    keys.repartitionByRange("key").withColumn("range", F.spark_partition_id()).write.mode("overwrite").parquet(path)
+    ranges = corpus.sparkSession.read.parquet(path)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))  # a row for each range
+    place = F.col("before") + F.rank().over(Window.partitionBy("range").orderBy("key")) - 1
+    placed = ranges.join(F.broadcast(starts), "range").select("key", place.alias("place"))
+    slots = placed.groupBy(F.floor(F.col("place") / size).alias("slot")).agg(F.min("key").alias("first"), F.min("place").alias("start"))
+    return [(r[0], r[1]) for r in slots.orderBy("slot").select("first", "start").collect()]
+
+
+def _slotted(corpus: DataFrame, firsts: list[float | None]) -> DataFrame:
+    """``corpus`` with the slot of each row; a null key is in the first slot."""
+    if len(firsts) < 2:
+        return corpus.withColumn("slot", F.lit(0))
+    edges = Bucketizer(splits=[-math.inf, *firsts[1:], math.inf], inputCol="key", outputCol="slot", handleInvalid="keep")
+    rows = edges.transform(corpus.withColumn("key", F.col("poem_idx").cast("double")))
+    return rows.withColumn("slot", F.coalesce(F.col("slot").cast("int"), F.lit(0))).drop("key")
+
+
 def build(corpus: DataFrame, path: str, block: int = BLOCK) -> Index:
     """Writes the index of ``corpus`` under ``path``, a folder that all executors share, and opens it."""
     spark, columns = corpus.sparkSession, corpus.columns
-    ranged = corpus.withColumns({"n_verses": verse_count(F.col("verses")), "body": corpus_text()})
-    # the range number is stored, so ordinals stay the same however often a task is run
-    ranged.repartitionByRange("poem_idx").withColumn("range", F.spark_partition_id()).write.mode("overwrite").parquet(f"{path}/ranges")
-    ranges = spark.read.parquet(f"{path}/ranges")
-    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))  # a row for each range
-    inside = F.row_number().over(Window.partitionBy("range").orderBy("poem_idx", F.xxhash64("body"))) - 1
-    numbered = ranges.withColumn("inside", inside).join(F.broadcast(starts), "range").withColumn("ordinal", F.col("before") + F.col("inside"))
-    placed = numbered.select(*columns, "n_verses", "body", F.floor(F.col("ordinal") / block).cast("int").alias("block"), (F.col("ordinal") % block).cast("int").alias("offset"))
-    pieces = placed.repartition("block", F.floor(F.col("offset") / max(1, block // 8))).sortWithinPartitions("block", "offset")
-    pieces.write.mode("overwrite").partitionBy("block").parquet(f"{path}/rows")
+    slots = _slots(corpus, f"{path}/ranges", max(1, block // 8))
+    starts = spark.createDataFrame([(slot, start) for slot, (_, start) in enumerate(slots)], "slot int, start long")  # a row for each slot
+    inside = F.row_number().over(Window.partitionBy("slot").orderBy("poem_idx", F.xxhash64(*columns))) - 1
+    numbered = _slotted(corpus, [first for first, _ in slots]).withColumn("inside", inside).join(F.broadcast(starts), "slot").withColumn("ordinal", F.col("start") + F.col("inside"))
+    placed = numbered.select(*columns, verse_count(F.col("verses")).alias("n_verses"), F.floor(F.col("ordinal") / block).cast("int").alias("block"), (F.col("ordinal") % block).cast("int").alias("offset"))
+    placed.sortWithinPartitions("block", "offset").write.mode("overwrite").partitionBy("block").parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
     named = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), norm(F.col(a)).alias("value")) for a in ATTRIBUTES])).alias("entry")
     entries = rows.select("block", "offset", named).select("block", "offset", "entry.*").filter("value <> ''")
@@ -69,7 +94,7 @@ def build(corpus: DataFrame, path: str, block: int = BLOCK) -> Index:
 def opened(spark: SparkSession, path: str) -> Index:
     """The index under ``path``; its files are listed once."""
     rows = spark.read.parquet(f"{path}/rows")
-    return Index(spark.read.parquet(f"{path}/values"), spark.read.parquet(f"{path}/postings"), rows, tuple(c for c in rows.columns if c not in ("n_verses", "body", "block", "offset")))
+    return Index(spark.read.parquet(f"{path}/values"), spark.read.parquet(f"{path}/postings"), rows, tuple(c for c in rows.columns if c not in ("n_verses", "block", "offset")))
 
 
 def posting_lists(index: Index, asked: dict[str, str]) -> DataFrame:
@@ -102,7 +127,7 @@ def matches(index: Index, asked: dict[str, str], mode: str = "AND") -> DataFrame
 def search(index: Index, criteria: Criteria, limit: int | None = None) -> DataFrame:
     """The rows that ``operators.search.search`` gives, by way of the posting lists."""
     asked = {a: getattr(criteria, a) for a in ATTRIBUTES if getattr(criteria, a)}
-    rest = residual(criteria, F.col("n_verses"), F.col("body"))
+    rest = residual(criteria, F.col("n_verses"))
     rows = index.rows
     if asked:
         found = matches(index, asked, criteria.mode)

@@ -1,14 +1,20 @@
 """Steps that must hold on large tables: they agree with their plain twins, and work text by text or without what grows."""
 
 import random
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from rawi.functions import arabic as A
 from rawi.functions import scansion as S
+from rawi.operators import index as I
 from rawi.operators import web as R
+from rawi.operators.search import Criteria
 from rawi.plans import answer_queries as W
 
+CORPUS = "poem_idx long, title string, meter string, verses array<string>, qafiya string, theme string, poet_name string, poet_era string, poet_location string, description string, language_type string"
+
 
 def test_mark_issues_text_by_text(spark):
     rng = random.Random(5)
@@ -43,3 +49,25 @@ def test_rounds_send_nothing_that_grows_to_all_executors(spark, monkeypatch):
     kept = R.rounds(requests, "k", ask, R.MockSearch, judge, max_rounds=2).kept.collect()
     assert sorted((r.k, r.round, r.title) for r in kept) == [(1, 1, "About a 1"), (1, 2, "About a 2"), (2, 1, "About b 1")]
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_index_moves_and_writes_the_rows_once(spark):
+    rng = random.Random(3)
+    words = [f"{rng.getrandbits(40):x}" for _ in range(4_000)]
+    rows = [(k, f"t{k}", rng.choice(["Kamil", "Rajaz"]), rng.sample(words, 200), "q", "love", f"poet {rng.randrange(9)}", "era", "", "", "") for k in [None, None, *range(600), *[7] * 90, -5, 1 << 60, (1 << 60) + 1]]
+    path = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame(rows, CORPUS).write.parquet(f"{path}/corpus")
+    index = I.build(spark.read.parquet(f"{path}/corpus"), f"{path}/index", block=64)
+    size = lambda folder: sum(f.stat().st_size for f in Path(folder).rglob("*.parquet"))
+    assert size(f"{path}/index/ranges") < size(f"{path}/index/rows") / 10 and "body" not in index.rows.columns
+    got = [(r.block * 64 + r.offset, r.poem_idx) for r in index.rows.orderBy("block", "offset").collect()]
+    assert [o for o, _ in got] == list(range(len(rows)))
+    assert [i for _, i in got] == [None, None] + sorted(r[0] for r in rows if r[0] is not None)
+
+
+def test_index_of_one_key_and_of_null_keys(spark):
+    for keys in ([5] * 300, [None] * 70, [None] * 70 + [3] * 70 + [4]):
+        rows = [(k, f"t{i}", "Kamil", [f"line {i}"], "q", "love", "poet", "era", "", "", "") for i, k in enumerate(keys)]
+        index = I.build(spark.createDataFrame(rows, CORPUS), tempfile.mkdtemp(prefix="spark-") + "/index", block=16)
+        assert sorted(r.block * 16 + r.offset for r in index.rows.collect()) == list(range(len(rows)))
+        assert I.search(index, Criteria(meter="kamil", keywords=("line 69",))).count() == 1
