@@ -11,15 +11,22 @@ from rawi.operators.steps import once, pair_rows, with_pairs
 from rawi.sources.tables import table
 
 
-def poems(spark, sf_dir):
+def in_arabic(docs):
     """doc_id as poem_idx, and the text's lines in Arabic letters."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("poem_idx"), F.split(A.transliterated(F.coalesce("text", F.lit(""))), "\n").alias("verses"))
+    return docs.select(F.col("doc_id").alias("poem_idx"), F.split(A.transliterated(F.coalesce("text", F.lit(""))), "\n").alias("verses"))
 
 
-def lines(spark, sf_dir):
+def poems(spark, sf_dir):
+    return in_arabic(table(spark, sf_dir, "documents"))
+
+
+def lines_of(poems):
     """Non-blank lines with their place."""
-    shown = poems(spark, sf_dir).select("poem_idx", F.posexplode(F.filter(F.transform("verses", X.strip), lambda v: v != "")).alias("pos", "line"))
-    return shown
+    return poems.select("poem_idx", F.posexplode(F.filter(F.transform("verses", X.strip), lambda v: v != "")).alias("pos", "line"))
+
+
+def lines(spark, sf_dir):
+    return lines_of(poems(spark, sf_dir))
 
 
 def verse_counts(spark, sf_dir):

@@ -80,9 +80,13 @@ def whole_pattern_to_feet(spark, sf_dir):
 
 def marked(spark, sf_dir):
     """Transliterated lines with a mark behind every letter: fatha before a vowel's place, else sukun."""
-    lines = rhyme_queries.lines(spark, sf_dir)
+    # few large files are dealt to all cores: reading a line costs far more than moving it
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    lines = rhyme_queries.lines_of(rhyme_queries.in_arabic(docs))
     letter = F.regexp_replace("line", "([^\\s.,؟!])", "$1" + _FATHA)
-    return lines.select("poem_idx", "pos", F.regexp_replace(letter, f"([دذرز]){_FATHA}", "$1" + _SUKUN).alias("line"))
+    for rests in "دذرز":
+        letter = F.replace(letter, F.lit(rests + _FATHA), F.lit(rests + _SUKUN))
+    return lines.select("poem_idx", "pos", letter.alias("line"))
 
 
 def scansion(spark, sf_dir):

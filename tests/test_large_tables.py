@@ -3,6 +3,7 @@
 import random
 import tempfile
 from pathlib import Path
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from rawi.operators import index as I
 from rawi.operators import web as R
 from rawi.operators.search import Criteria
 from rawi.plans import answer_queries as W
+from rawi.plans import verse_queries as V
 
 CORPUS = "poem_idx long, title string, meter string, verses array<string>, qafiya string, theme string, poet_name string, poet_era string, poet_location string, description string, language_type string"
 
@@ -71,3 +73,30 @@ def test_index_of_one_key_and_of_null_keys(spark):
         index = I.build(spark.createDataFrame(rows, CORPUS), tempfile.mkdtemp(prefix="spark-") + "/index", block=16)
         assert sorted(r.block * 16 + r.offset for r in index.rows.collect()) == list(range(len(rows)))
         assert I.search(index, Criteria(meter="kamil", keywords=("line 69",))).count() == 1
+
+
+def test_words_of_lines_are_read_once(monkeypatch):
+    read, unit = [], S._UNIT
+    monkeypatch.setattr(S, "_UNIT", SimpleNamespace(findall=lambda text: read.append(len(text)) or unit.findall(text)))
+    rng = random.Random(4)
+    words = [f"{rng.choice('قفعسهد')}{rng.choice(S.SHORT)}{rng.choice('لمنت')}{rng.choice(S.MARKS)}" for _ in range(20)]
+    lines = [" ".join(rng.choices(words, k=30)) for _ in range(200)]
+    for line in lines:
+        S.scanned(line)
+    assert sum(read) < sum(map(len, lines)) / 5
+
+
+def test_words_read_apart_give_what_the_whole_line_gives(monkeypatch):
+    rng = random.Random(6)
+    words = ["بَ", "هُ", "هِ", "ه", "#", "#ب", "اً", "بْ", "بّ", "ـ", "قَمَرٌ", "ب", "اٌ", "وا", "بّاً", "ْ", "ُ", "دَرْ", "دَرْسْ", "بُ ", "x", "", "\t"]
+    lines = [" ".join(rng.choices(words, k=rng.randrange(0, 9))) for _ in range(4_000)]
+    got = [S.scanned(x) for x in lines + lines]
+    # without what is kept
+    monkeypatch.setattr(S._Reading, "read_word", lambda self, word: self.read(S._UNIT.findall(word + " "), False) or all(u[0] for u in S._UNIT.findall(word + " ")))
+    again = [S.scanned(x) for x in lines]
+    assert got == again + again
+
+
+def test_scansion_reads_lines_on_all_cores(spark):
+    told = V.scansion(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in told[told.index("ArrowEvalPython") :]
