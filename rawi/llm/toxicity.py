@@ -103,6 +103,8 @@ def _trigrams(batches):
         return [c[first] for c in columns]
 
     def batch_of(part):
+        order = np.lexsort(part[::-1])  # rows of a context stand together, so shuffle files repeat their keys and compress
+        part = [c[order] for c in part]
         return pa.RecordBatch.from_pydict({n: pa.array(c.view(np.int64)) for n, c in zip(names, part, strict=True)})
 
     for batch in batches:

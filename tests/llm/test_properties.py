@@ -66,3 +66,15 @@ def test_base_spans(texts):
     for t, spans in zip(texts, found, strict=True):
         want = sorted((m.start(), i, m.end()) for i, (_, p, ok) in enumerate(PATTERNS) for m in p.finditer(t) if ok(m))
         assert [s for s in spans if s[1] < 3] == want
+
+
+def test_trigrams_of_a_context_stand_together():
+    import pyarrow as pa
+
+    from rawi.llm.toxicity import _trigrams
+
+    words = [f"w{'abcdefgh'[i % 8]}{'ijklmno'[i % 7]}" for i in range(56)]
+    texts = [" ".join(words[(i * k + k * k) % 56] for i in range(40)) for k in range(1, 60)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "toxic": [k % 2 for k in range(59)]})
+    rows = [(r["v"] % (1 << 64), r["w"] % (1 << 64), r["mark"] % (1 << 64)) for b in _trigrams([batch]) for r in b.to_pylist()]
+    assert len(rows) > 500 and rows == sorted(set(rows))
