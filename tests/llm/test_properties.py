@@ -78,3 +78,27 @@ def test_trigrams_of_a_context_stand_together():
     batch = pa.RecordBatch.from_pydict({"text": texts, "toxic": [k % 2 for k in range(59)]})
     rows = [(r["v"] % (1 << 64), r["w"] % (1 << 64), r["mark"] % (1 << 64)) for b in _trigrams([batch]) for r in b.to_pylist()]
     assert len(rows) > 500 and rows == sorted(set(rows))
+
+
+def test_workers_give_memory_back():
+    import gc
+    import re
+    from pathlib import Path
+
+    import numpy as np
+
+    from rawi.llm.common import tidied
+
+    size = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    peak, kept = [], []
+
+    def run(batches):
+        held = [np.ones(1 << 13) for _ in range(4_000)]  # 250 MB of small arrays
+        kept.append(held[-1])
+        peak.append(size())
+        yield from batches
+
+    before = size()
+    assert list(tidied(run)([1, 2])) == [1, 2]
+    gc.collect()
+    assert peak[0] - before > 150 and size() - before < 100
