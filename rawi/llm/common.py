@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Blank-separated words, as the Java regex of the native operators.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes from which on an Arrow batch for a Python worker is closed.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,18 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return fn
 
 
+def map_tidied(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` of ``tidied(run)``, with batches closed at ``BATCH_BYTES`` unless the session has a bound of its own.
+
+    By default a batch is 10,000 rows however long they are, and the JVM builds it outside its heap in
+    buffers that double as they grow: some 200 MB for a task on rows of 3 KB.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(limit, None) is None:
+        df.sparkSession.conf.set(limit, str(BATCH_BYTES))
+    return df.mapInArrow(tidied(run), schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` where ``fn`` turns one input batch into dicts of columns.
 
@@ -69,7 +83,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
             for cols in fn(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in target], schema=target)
 
-    return df.mapInArrow(tidied(run), schema)
+    return map_tidied(df, run, schema)
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:

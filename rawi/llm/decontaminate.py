@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, table, tidied, written
+from .common import map_batches, map_tidied, slices, table, written
 from .wordstream import ALNUM, Shelf, Words, text_bytes, window_hashes
 
 #: Benchmark characters held by a task at a time.
@@ -252,7 +252,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, t
                     spans = [s for found in find(part) for s in found["spans"]]
                     yield part.filter(pa.array([not s for s in spans], pa.bool_()))
 
-        docs = docs.mapInArrow(tidied(run), docs.schema)
+        docs = map_tidied(docs, run, docs.schema)
         if b < blocks - 1:
             docs = written(docs)
     return docs

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, map_batches, size_of, slices, table, tidied, written
+from .common import fresh, map_batches, map_tidied, size_of, slices, table, written
 from .wordstream import LETTERS, Shelf, Words, mix, window_hashes
 
 LONGEST = 4
@@ -200,7 +200,7 @@ def learn(docs: DataFrame, max_words: int = 100_000, max_grams: int = 50_000) ->
         return Learned(Tables([], [], {}, {}), None)
     max_words, max_grams = min(max_words, HELD // len(langs)), min(max_grams, HELD // 2 // len(langs))
     names = docs.sparkSession.createDataFrame(list(enumerate(langs)), "code int, lang string")
-    counts = docs.join(F.broadcast(names), "lang").select("text", "code").mapInArrow(tidied(_counting), "lang int, kind int, key long, n long")
+    counts = map_tidied(docs.join(F.broadcast(names), "lang").select("text", "code"), _counting, "lang int, kind int, key long, n long")
     counts = written(counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")))
     totals = {(r.kind, r.lang): r.n for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     # the step of log frequency from which the keys of a kind are held
@@ -353,7 +353,7 @@ def _rows(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names[:-4]] + _looked(part, shared.value), names=names)
 
     schema = StructType([docs.schema[c] for c in keep] + StructType.fromDDL(_LOOK).fields)
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(tidied(run), schema))
+    return written(map_tidied(docs.withColumn("_row", F.monotonically_increasing_id()), run, schema))
 
 
 def identify(docs: DataFrame, learned: Learned) -> DataFrame:

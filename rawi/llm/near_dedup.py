@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import fresh, map_batches, size_of, slices, table, tidied, written
+from .common import fresh, map_batches, map_tidied, size_of, slices, table, written
 from .components import components
 from .wordstream import PLAIN, Words, mix, text_bytes, window_hashes
 
@@ -189,7 +189,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     heads = spread.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("leader").alias("tid"))
     rows = members.unionByName(heads).join(texts, "tid").select("leader", "salt", "tid", "text", (F.col("leader") != F.col("tid")).alias("other"))
     rows = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "other")
-    return written(rows.select("leader", "tid", "text").mapInArrow(tidied(_verified(shingle, similarity)), "a binary, b binary"))
+    return written(map_tidied(rows.select("leader", "tid", "text"), _verified(shingle, similarity), "a binary, b binary"))
 
 
 def _boxes(batches, names: tuple[str, ...]):
@@ -291,9 +291,9 @@ def _remaining(members: DataFrame, labels: DataFrame, texts: DataFrame, found: D
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = written(rows.select(F.xxhash64("key", F.least("half", "with"), F.greatest("half", "with")).alias("box"), "band", "half", "tid", "label"))
     signed = rows.join(texts.select("tid", "sig", "bands"), "tid").select(*_ROW)
-    busy = written(signed.repartition("box").sortWithinPartitions("box").mapInArrow(tidied(_screen), "box long, tid binary"))
+    busy = written(map_tidied(signed.repartition("box").sortWithinPartitions("box"), _screen, "box long, tid binary"))
     full = rows.join(busy, ["box", "tid"]).join(texts.select("tid", "sig", "bands"), "tid").join(found, "tid").select(*_ROW, "text")
-    return written(full.repartition("box").sortWithinPartitions("box").mapInArrow(tidied(_joined_up(shingle, similarity)), "a binary, b binary"))
+    return written(map_tidied(full.repartition("box").sortWithinPartitions("box"), _joined_up(shingle, similarity), "a binary, b binary"))
 
 
 def _sent(ids: DataFrame) -> DataFrame:
@@ -362,7 +362,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
                 tids = pa.array([text_id(t) for t in text_bytes(part.column("text").to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, tids], names=[*part.schema.names, tid])
 
-    shared = shared.mapInArrow(tidied(named), StructType([*docs.schema.fields, StructField(tid, BinaryType())]))
+    shared = map_tidied(shared, named, StructType([*docs.schema.fields, StructField(tid, BinaryType())]))
     kept = found.filter("doc_id = class_id").join(many, "doc_id", "left_semi").select(F.col("doc_id").alias(own), F.col("tid").alias(tid), F.col("label").alias(label)).distinct()
     shared = shared.join(kept, (shared["doc_id"] == kept[own]) & (shared[tid] == kept[tid])).drop(tid).dropDuplicates(["doc_id", label])
     return once.unionByName(shared.select(*docs.columns))

@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, table, tidied
+from .common import map_batches, map_tidied, slices, table
 from .wordstream import text_bytes
 
 #: Characters from which on a run is scored, if no labelled credential is shorter.
@@ -387,7 +387,7 @@ def mask_secrets(docs: DataFrame, labelled: DataFrame | None = None, mask: str =
                     columns[at] = pa.array(sizes, part.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    return map_tidied(docs, run, docs.schema)
 
 
 def op8_secrets_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rawi.llm import near_dedup, quality_rules, secrets_scan
 from rawi.llm.wordstream import ALNUM, PLAIN, Shelf, Words, text_bytes, window_hashes
@@ -102,3 +103,12 @@ def test_workers_give_memory_back():
     assert list(tidied(run)([1, 2])) == [1, 2]
     gc.collect()
     assert peak[0] - before > 150 and size() - before < 100
+
+
+def test_batches_for_workers_are_bounded_in_bytes(spark):
+    from rawi.llm.common import BATCH_BYTES, map_batches
+
+    rows = spark.range(0, 4_000, 1, 1).select(F.col("id"), F.repeat(F.lit("x"), 4_000).alias("text"))
+    sizes = map_batches(rows, lambda batch: [{"n": [batch.num_rows], "bytes": [batch.nbytes]}], "n long, bytes long").collect()
+    assert sum(r.n for r in sizes) == 4_000 and len(sizes) > 3
+    assert max(r.bytes for r in sizes) < BATCH_BYTES + 10_000
